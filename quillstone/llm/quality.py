@@ -76,9 +76,10 @@ def quality_rules(df: DataFrame, text: str = "text", trusted: str = TRUSTED, thr
     total = F.aggregate(_buckets(buckets), F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = counted.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0)).withColumn("base_failed", failed)
-    # a filter on `kept` must not be pushed down: it would hold a second copy of every step it rests on. One on a value that is not deterministic stays.
-    verdict = F.when(F.rand(0) >= 0, ~F.col("base_failed") & (F.col("score") >= threshold))
-    return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", verdict.alias("kept"))
+    verdict = ~F.col("base_failed") & (F.col("score") >= threshold)
+    # a filter on `kept` must not be pushed down: it would hold a second copy of every step it rests on. It stays above a generator.
+    judged = F.struct("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", verdict.alias("kept"))
+    return out.select(F.explode(F.array(judged)).alias("j")).select("j.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
