@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillstone.llm.bpe import op2_bpe_codec
+from quillstone.llm.katz import op9_katz_score
 from quillstone.llm.language import op3_language_id
 from quillstone.llm.licenses import op5_license_scan
 from quillstone.llm.mixing import op6_source_mix
@@ -14,7 +15,7 @@ from quillstone.llm.urls import op4_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_search, op2_bpe_codec, op3_language_id, op4_url_filter, op5_license_scan, op6_source_mix, op7_minhash_neardup, op8_quality_rules, op10_substring_dedup)
+    for f in (op1_topk_search, op2_bpe_codec, op3_language_id, op4_url_filter, op5_license_scan, op6_source_mix, op7_minhash_neardup, op8_quality_rules, op9_katz_score, op10_substring_dedup)
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')"
