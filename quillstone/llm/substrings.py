@@ -60,7 +60,7 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _runs(window: int, gram: int, slices: int):
+def _runs(text: str, window: int, gram: int, slices: int):
     """Texts with their repeated anchors -> for each slice, the hashes of runs with such an anchor and where they start."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def _runs(window: int, gram: int, slices: int):
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             values, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))]
-            for a, b, words in scan(batch.column(1)):
+            for a, b, words in scan(batch.column(1).field(text)):
                 h = words.hashes()
                 starts, _, low = run_anchors(words, h, window, gram)
                 known = np.unique(values[offsets[a] : offsets[b]])
@@ -121,16 +121,17 @@ def _index(table):
     return pa.table({"uid": pa.array(owner[first]), "starts": lists})
 
 
-def duplicate_runs(df: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """(texts: all rows of df as (uid, row struct, t), places: uid, starts array<int>) for columns already keyed by `uid`."""
-    slices = blocks * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select("uid", F.col(text).alias("t"))
-    anchors = texts.mapInArrow(_anchors(window, gram), "anchor long, uid long")
+def duplicate_runs(rows: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, blocks: int = BLOCKS) -> DataFrame:
+    """rows: uid, row (a struct with the text) -> uid, starts array<int>: where a run stands that also starts elsewhere.
+
+    The whole struct goes through the join with the anchors, so that Spark shuffles the rows once for this join and the caller's."""
+    slices = blocks * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = rows.select("uid", F.coalesce(F.col(f"row.`{text}`"), F.lit(""))).mapInArrow(_anchors(window, gram), "anchor long, uid long")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     known = anchors.distinct().join(repeated, "anchor", "left_semi").groupBy("uid").agg(F.collect_list("anchor").alias("anchors"))
-    runs = texts.join(known, "uid").select("uid", "t", "anchors").mapInArrow(_runs(window, gram, slices), "slice int, settled int, runs binary, owner binary, place binary")
+    runs = rows.join(known, "uid").select("uid", "row", "anchors").mapInArrow(_runs(text, window, gram, slices), "slice int, settled int, runs binary, owner binary, place binary")
     places = runs.groupBy("slice").applyInArrow(_index, "uid long, starts array<int>")
-    return texts, places.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return places.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _cover(offsets: np.ndarray, values: np.ndarray, words, a: int, b: int, window: int) -> np.ndarray:
@@ -164,11 +165,11 @@ def _kept(data: np.ndarray, words, drop: np.ndarray, doc: int) -> bytes:
     return out.tobytes()
 
 
-def _trim(window: int, digest: bool):
+def _trim(text: str, window: int, digest: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            offsets, values = _lists(batch.column(2))
-            for a, b, words in scan(batch.column(1)):
+            offsets, values = _lists(batch.column(1))
+            for a, b, words in scan(batch.column(0).field(text)):
                 drop = _cover(offsets, values, words, a, b, window)
                 sums = np.r_[0, np.cumsum(drop)]
                 removed = sums[words.first[1:]] - sums[words.first[:-1]]
@@ -183,11 +184,10 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", wind
     """Returns all rows and columns of df in a struct `row`, with n_words, n_removed and `kept`: the text without any word in a duplicate span, its
     words joined by one space (its SHA-256 with `digest`).  Null and empty text: no words, empty `kept`.  Rows that repeat, with or without a key, are
     copies of each other, so all their runs of `window` words go.  The columns of df may have any name."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(row.alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t")).withColumn("uid", F.expr(row_key(f"row.`{key}`", "t")))
-    texts, places = duplicate_runs(rows, "t", window, gram, blocks)
+    rows = df.select(F.expr(row_key(f"`{key}`", f"`{text}`")).alias("uid"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    places = duplicate_runs(rows, text, window, gram, blocks)
     schema = rows.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return rows.join(places, "uid", "left").select("row", "t", "starts").mapInArrow(_trim(window, digest), schema)
+    return rows.join(places, "uid", "left").select("row", "starts").mapInArrow(_trim(text, window, digest), schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
