@@ -126,7 +126,7 @@ def duplicate_runs(rows: DataFrame, text: str = "text", window: int = WINDOW, gr
 
     The whole struct goes through the join with the anchors, so that Spark shuffles the rows once for this join and the caller's."""
     slices = blocks * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = rows.select("uid", F.coalesce(F.col(f"row.`{text}`"), F.lit(""))).mapInArrow(_anchors(window, gram), "anchor long, uid long")
+    anchors = rows.select("uid", F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("t")).mapInArrow(_anchors(window, gram), "anchor long, uid long")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     known = anchors.distinct().join(repeated, "anchor", "left_semi").groupBy("uid").agg(F.collect_list("anchor").alias("anchors"))
     runs = rows.join(known, "uid").select("uid", "row", "anchors").mapInArrow(_runs(text, window, gram, slices), "slice int, settled int, runs binary, owner binary, place binary")
