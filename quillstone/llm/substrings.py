@@ -25,8 +25,8 @@ from quillstone.llm.bytescan import mix, rolling, scan
 from quillstone.llm.durable import row_key
 
 WINDOW, GRAM = 35, 12
-#: Reference blocks for each shuffle partition of the session; blocks stay small because that number is set to suit the input.
-BLOCKS = 4
+#: Reference blocks at least; the session's number of shuffle partitions, which is set to suit the input, if that is larger.
+BLOCKS = 96
 
 
 def run_anchors(words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def duplicate_runs(rows: DataFrame, text: str = "text", window: int = WINDOW, gr
     """rows: uid, row (a struct with the text) -> uid, starts array<int>: where a run stands that also starts elsewhere.
 
     The whole struct goes through the join with the anchors, so that Spark shuffles the rows once for this join and the caller's."""
-    slices = blocks * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     anchors = rows.select("uid", F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("t")).mapInArrow(_anchors(window, gram), "anchor long, uid long")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     known = anchors.distinct().join(repeated, "anchor", "left_semi").groupBy("uid").agg(F.collect_list("anchor").alias("anchors"))
