@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in a cache of pre-token codes; a full cache is emptied. It bounds memory and does not alter results.
-CACHE = 500_000
+CACHE = 250_000
 
 
 def _printable() -> dict[str, int]:
@@ -71,7 +71,7 @@ class Codec:
             self.length.append(len(a) + len(b))
             self.halves.append((node[a], node[b]))
         self._automaton(node)
-        self.fits = Cache(self._fits, 4 * CACHE)
+        self.fits = Cache(self._fits, CACHE)
         self.lead = Cache(lambda word: self._piece(" " + word), CACHE)
         self.bare = Cache(self._piece, CACHE)
 
