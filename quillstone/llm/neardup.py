@@ -8,9 +8,9 @@
   the last level (many near copies of one text) is dealt to salted blocks, each with the node's pivots.
 * Independent trees are repeated; a pair of similarity 0.8 stays unseen by one tree in about 0.3 of cases at most levels that occur, so by all
   ten in 1e-5.
-* Round one verifies few pairs of each member (its first and its best partner) on the full sets and finds components; round two verifies
-  all further pairs between different components.  No partner or candidate is capped: what round one leaves out joins texts that are
-  in one component already, or it comes up in round two.
+* Round one verifies few pairs of each member (its first and its best partner) on the full sets and finds components; round two brings the
+  full sets of members that may have a partner in another component to their nodes, and compares all of them there.  No partner or candidate is
+  capped: what round one leaves out joins texts that are in one component already, or it comes up in round two.
 """
 
 from __future__ import annotations
@@ -170,9 +170,12 @@ def _nodes(spanning: bool, percent: int, leaf: int | None):
                 keep = None
             s = ~big
             l, r, agreed = _compare(node[s], rep[s], n[s], comp[s], sketch[s], spanning, percent)
-            a, b = rep[s][l], rep[s][r]
+            a, b, at = np.minimum(rep[s][l], rep[s][r]), np.maximum(rep[s][l], rep[s][r]), np.zeros(len(l), np.int64)
+            if not spanning:  # members, not pairs: a row for each that has a partner in this node
+                use = np.unique(np.r_[l, r])
+                a, b, agreed, at = rep[s][use], comp[s][use], n[s][use], node[s][use]
             none = np.zeros(int(big.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(a, b), rep[big]]), pa.array(np.r_[np.maximum(a, b), none]), pa.array(np.r_[agreed, none - 1]), pa.array(np.r_[np.zeros(len(a), np.int64), node[big]])], ["a", "b", "agreed", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, rep[big]]), pa.array(np.r_[b, none]), pa.array(np.r_[agreed, none - 1]), pa.array(np.r_[at, node[big]])], ["a", "b", "agreed", "node"])
 
         for batch in it:
             if not len(batch):
@@ -192,7 +195,8 @@ _FOUND = "a long, b long, agreed long, node long"
 
 
 def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
-    """Pairs (a, b, agreed) of representatives (rep, n, comp, sig) that may be linked; with `spanning`, few of each member."""
+    """Of representatives (rep, n, comp, sig): with `spanning`, pairs (a, b, agreed) that may be linked, few of each member; else the members (node, rep, comp)
+    that may be linked with one of another component in the same node."""
 
     def level(rows: DataFrame, leaf: int | None) -> DataFrame:
         return rows.repartition("node").sortWithinPartitions("node", "n", "rep").mapInArrow(_nodes(spanning, percent, leaf), _FOUND)
@@ -221,6 +225,8 @@ def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
+    if not spanning:
+        return out.select("node", F.col("a").alias("rep"), F.col("b").alias("comp")).distinct()
     return out.select("a", "b", "agreed").groupBy("a", "b").agg(F.max("agreed").alias("agreed"))
 
 
@@ -269,10 +275,9 @@ def _overlap(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select("b"))
-    got = ends.mapInArrow(_bits, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+def _sets(reps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """rep, set: the full shingle sets of reps (a column `rep`), and of some others that a filter of fixed size lets pass."""
+    got = reps.select("rep").mapInArrow(_bits, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[got.column("at").to_numpy()] = got.column("bit").to_numpy().view(np.uint64)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
@@ -280,9 +285,63 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     def run(it):
         yield from _wanted(size, shared.value)(it)
 
-    sets = texts.mapInArrow(run, "uid long, set binary")
-    left = pairs.join(sets.withColumnsRenamed({"uid": "a", "set": "x"}), "a")
-    return durable(left.join(sets.withColumnsRenamed({"uid": "b", "set": "y"}), "b").select("a", "b", "x", "y").mapInArrow(_overlap(percent), "a long, b long"))
+    return texts.mapInArrow(run, "rep long, set binary")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    sets = _sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), texts, size)
+    left = pairs.join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a")
+    return durable(left.join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b").select("a", "b", "x", "y").mapInArrow(_overlap(percent), "a long, b long"))
+
+
+def _links(percent: int):
+    """Rows sorted by node -> links between components inside nodes; pairs that a link has joined already are passed over."""
+
+    def inside(reps: list, comps: list, sets: list) -> list:
+        top: dict[int, int] = {}
+
+        def root(c):
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        out, arrays = [], [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+        for i in range(len(reps)):
+            for j in range(i):
+                small, large = sorted((len(arrays[i]), len(arrays[j])))
+                if 100 * small < percent * large or root(comps[i]) == root(comps[j]):
+                    continue
+                both = np.concatenate([arrays[i], arrays[j]])
+                both.sort(kind="stable")
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * common >= percent * (len(both) - common):
+                    out.append((reps[i], reps[j]))
+                    top[root(comps[i])] = root(comps[j])
+        return out
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, group = None, ([], [], [])
+        for batch in it:
+            found = []
+            nodes, reps, comps = (batch.column(i).to_pylist() for i in range(3))
+            for x, *row in zip(nodes, reps, comps, batch.column(3)):
+                if x != node:
+                    found += inside(*group)
+                    node, group = x, ([], [], [])
+                for column, value in zip(group, row):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array([y[k] for y in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = inside(*group)
+        yield pa.RecordBatch.from_arrays([pa.array([y[k] for y in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def verify_nodes(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """members (node, rep, comp) -> links (a, b) between components: each member's set goes to its nodes once, whatever the number of pairs there."""
+    rows = members.join(_sets(members, texts, size), "rep").select("node", "rep", "comp", "set")
+    return durable(rows.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_links(percent), "a long, b long"))
 
 
 def near_duplicates(texts: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -303,8 +362,7 @@ def near_duplicates(texts: DataFrame, size: int = 5, percent: int = 80) -> DataF
     links = verify(first, texts, size, percent)
     comp = connected(links)
     labelled = reps.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("comp"), "sig")
-    rest = durable(search(durable(labelled), False, percent).join(first, ["a", "b"], "left_anti").select("a", "b"))
-    links = links.union(verify(rest, texts, size, percent))
+    links = links.union(verify_nodes(durable(search(durable(labelled), False, percent)), texts, size, percent))
     ties = member.where("uid <> rep").groupBy("uid").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     again = ties.where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
     comp = connected(links.union(again))
