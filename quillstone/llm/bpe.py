@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -220,7 +221,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
     `ids` is replaced)."""
 
     @F.pandas_udf("array<int>")
-    def run(it: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for s in it:
             yield s.map(lambda t: c.encode(t or ""))
@@ -232,7 +233,7 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
     """Adds `text`, decoded from array<int> `ids` (null: empty); bytes that are no UTF-8 become U+FFFD."""
 
     @F.pandas_udf("string")
-    def run(it: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for s in it:
             yield s.map(lambda x: c.decode(x) if x is not None else "")
