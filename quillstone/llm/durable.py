@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,10 @@ def durable(df: DataFrame) -> DataFrame:
 def row_key(*cols: str) -> str:
     """SQL for a 64-bit key made from a row's content: equal rows share it, and it does not depend on partitions."""
     return f"xxhash64({', '.join(cols)})"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle and checkpoint files of tables that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)

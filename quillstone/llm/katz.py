@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.bytescan import blocks, NOT_SPACE, Words, mix
-from quillstone.llm.durable import durable
+from quillstone.llm.durable import durable, release
 
 #: Counts up to here are discounted.
 K = 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-BLOCK = 1 << 22
+BLOCK = 1 << 21
+#: Words before are known by 48 bits of their hash.
+SHORT = np.uint64((1 << 48) - 1)
 _ROW = "slice int, kind int, block long, a binary, b binary, c binary, d binary"
 
 
@@ -88,6 +90,7 @@ def _bigrams(slices: int, hot: np.ndarray):
                 count += 1
                 before = np.r_[START, tok[:-1]]
                 before[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] = START
+                before &= SHORT
                 by = np.where(np.isin(tok, hot), mix(tok ^ before), tok) if len(hot) else tok
                 cut = (by % np.uint64(slices)).astype(np.int32)
                 order = np.lexsort((before, tok, cut))
@@ -98,7 +101,7 @@ def _bigrams(slices: int, hot: np.ndarray):
                 train = ~held[a:b]
                 for s, w, p, d in zip(used, pack(tok), pack(before), pack(doc)):
                     new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])])
-                    rows.append((int(s), 0, block, w[new].tobytes(), p[new].tobytes(), np.diff(np.r_[new, len(w)]).astype(np.int32).tobytes(), np.r_[b - a, (d.astype(np.int32) << 1 | train[d])].astype(np.int32).tobytes()))
+                    rows.append((int(s), 0, block, w[new].tobytes(), _short(p[new]), np.diff(np.r_[new, len(w)]).astype(np.int32).tobytes(), np.r_[b - a, (d.astype(np.int32) << 1 | train[d])].astype(np.int32).tobytes()))
                 ids = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.bincount(doc, minlength=b - a))], ["k", "held", "n"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, ids.schema) as w:
@@ -114,6 +117,17 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slice", "kind", "block", "a", "b", "c", "d"])
 
 
+def _short(x: np.ndarray) -> bytes:
+    """48-bit numbers as 6 bytes each."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inverse = np.unique(x, return_inverse=True)
     return u, inverse
@@ -127,12 +141,15 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
         out = [(r["slice"], 4, r["block"], r["a"], b"", b"", b"") for r in rows if r["kind"] == 4]
         rows = [r for r in rows if r["kind"] == 0]
         if rows:
-            w, p, size = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("b", np.uint64), ("c", np.int32)))
+            w, size = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("c", np.int32)))
+            p = np.concatenate([_long(r["b"]) for r in rows])
             docs = [np.frombuffer(r["d"], np.int32) for r in rows]
-            base = np.r_[0, np.cumsum([d[0] for d in docs])]
+            rows = [{"block": r["block"]} for r in rows]
+            base = np.r_[0, np.cumsum([d[0] for d in docs])].astype(np.int32)
             flag = np.concatenate([d[1:] for d in docs])
             owner = (flag >> 1) + np.repeat(base[:-1], [len(d) - 1 for d in docs])
-            entry = np.repeat(np.arange(len(w)), size)
+            entry = np.repeat(np.arange(len(w), dtype=np.int32), size)
+            del docs
             seen = np.bincount(entry, weights=flag & 1, minlength=len(w)).astype(np.int64)
             _, which = _groups(mix(w * np.uint64(0x9E3779B97F4A7C15) ^ p))
             big = np.bincount(which, weights=seen).astype(np.int64)
@@ -159,7 +176,7 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
             part = (befores % np.uint64(slices)).astype(np.int32)
             for s in np.unique(part):
                 m = part == s
-                out.append((int(s), 1, 0, befores[m].tobytes(), share[0][m].tobytes(), np.stack([x[m] for x in share[1:]]).astype(np.int64).astype(np.int32).tobytes(), b""))
+                out.append((int(s), 1, 0, _short(befores[m]), share[0][m].tobytes(), np.stack([x[m] for x in share[1:]]).astype(np.int64).astype(np.int32).tobytes(), b""))
             miss = np.flatnonzero(r == 0)
             if len(miss):
                 source = np.searchsorted(base, owner[miss], "right") - 1
@@ -167,7 +184,7 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
                 part = (p[entry[miss]] % np.uint64(slices)).astype(np.int32)
                 for s in np.unique(part):
                     m = part == s
-                    out.append((int(s), 2, 0, p[entry[miss]][m].tobytes(), ids[source[m]].tobytes(), (owner[miss][m] - base[source[m]]).astype(np.int32).tobytes(), b""))
+                    out.append((int(s), 2, 0, _short(p[entry[miss]][m]), ids[source[m]].tobytes(), (owner[miss][m] - base[source[m]]).astype(np.int32).tobytes(), b""))
             out.append((0, 3, 0, np.bincount(np.minimum(big, K + 2), minlength=K + 3).astype(np.int64).tobytes(), b"", b"", b""))
         return pa.Table.from_batches([_batch(out)]) if out else pa.Table.from_batches([_batch([(0, 9, 0, b"", b"", b"", b"")])])
 
@@ -183,7 +200,7 @@ def _backoff(d: np.ndarray):
         out = []
         if miss:
             get = lambda rs, k, t: np.concatenate([np.zeros(0, t), *[np.frombuffer(r[k], t) for r in rs]])
-            words, at = _groups(get(part, "a", np.uint64))
+            words, at = _groups(np.concatenate([np.zeros(0, np.uint64), *[_long(r["a"]) for r in part]]))
             q = np.bincount(at, weights=get(part, "b", np.float64), minlength=len(words))
             classes = np.concatenate([np.zeros((K + 1, 0), np.int32), *[np.frombuffer(r["c"], np.int32).reshape(K + 1, -1) for r in part]], 1)
             n = np.stack([np.bincount(at, weights=x, minlength=len(words)) for x in classes])
@@ -191,7 +208,7 @@ def _backoff(d: np.ndarray):
             total = (n[:K] * r[:, None]).sum(0) + n[K]
             kept = (n[:K] * (r * d[1:])[:, None]).sum(0) + n[K]
             alpha = alpha_of(total, kept, q)
-            before = get(miss, "a", np.uint64)
+            before = np.concatenate([_long(r["a"]) for r in miss])
             i = np.minimum(np.searchsorted(words, before), max(0, len(words) - 1))
             known = words[i] == before if len(words) else np.zeros(len(before), bool)
             gain = np.where(known, np.log10(alpha[i]) + np.log10(total[i]), 0.0) if len(words) else np.zeros(len(before))
@@ -246,15 +263,19 @@ def score_texts(df: DataFrame, held: str, text: str = "text", key: str = "doc_id
     the same partitions if a task is repeated."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.coalesce(F.expr(held), F.lit(True)).alias("held"))
-    slices = max(40, int(spark.conf.get("spark.sql.shuffle.partitions")) // 12)
+    slices = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 12)
     words = durable(rows.mapInArrow(_unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.count_if(F.col("c") == r) for r in range(1, K + 2)], F.coalesce(F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c"))), F.lit(0))).first()
     total, kinds, texts = stats[0], stats[1], stats[-1]
     unigram = Unigram(total, [0, *stats[2:-1]])
     # words of more than a quarter of a slice: fewer than 4 * slices of them; their bigrams are dealt out by both words
     hot = {int(np.int64(r["w"]).view(np.uint64)): r["c"] for r in words.where(F.col("c") > max(1, total // (4 * slices))).collect()}
+    del words
+    release(spark)
     pairs = rows.mapInArrow(_bigrams(slices, np.fromiter(hot, np.uint64, len(hot))), _ROW)
     counted = durable(pairs.groupBy("slice").applyInArrow(_count(slices, unigram, hot), _ROW))
+    del pairs
+    release(spark)
     n = sum((np.frombuffer(r["a"], np.int64) for r in counted.where("kind = 3").select("a").collect()), np.zeros(K + 3, np.int64))
     d = discounts([0, *n[1 : K + 2].tolist()])
     unseen = counted.where("kind in (1, 2)").groupBy("slice").applyInArrow(_backoff(d), _ROW)
