@@ -31,6 +31,7 @@ def row_key(*cols: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle and checkpoint files of tables that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+    for _ in range(2):  # the first round drops Python's handles, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.5)
