@@ -21,6 +21,9 @@ fail fails failed unable doesn't don't didn't isn't aren't wasn't weren't won't
 # Abbreviations after which no sentence ends.
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "vs.", "fig.", "figs.", "no.", "approx.", "ca.", "dr.", "mr.", "ms.", "inc.", "ltd.", "u.s.", "u.k.", "cf.", "resp.", "etc.")
 
+# A text that starts with one of these is a question.
+QUESTION_WORDS = "what why how when where which who whom whose is are does do can could should will would did was were".split()
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; a decimal number is one token."""
@@ -74,3 +77,27 @@ def k_grams(word: Column, k: int = 2) -> Column:
     """The set of k-grams of a word between border marks."""
     w = F.concat(F.lit("$"), word, F.lit("$"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - k + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(k))))
+
+
+def chain(stemmer: str = "s", stop_words: bool = False):
+    """Analysis as a function of a column: stemmer s or none; stop words go unless kept. (The suffix stemmer runs on distinct words, see stems.)"""
+    if stemmer not in ("s", "none"):
+        raise ValueError(f"no column form of stemmer {stemmer!r}")
+
+    def analyzed(text: Column) -> Column:
+        out = tokens(text) if stop_words else F.filter(tokens(text), lambda t: ~is_stop(t))
+        return F.transform(out, s_stem) if stemmer == "s" else out
+
+    return analyzed
+
+
+def is_claim(text: Column) -> Column:
+    """Neither ends with a question mark nor starts like a question; null counts as empty."""
+    t = F.lower(F.btrim(F.coalesce(text, F.lit(""))))
+    return ~t.endswith("?") & ~t.rlike("^(" + "|".join(QUESTION_WORDS) + ")\\b")
+
+
+def source_entry(number: Column, title: Column, body: Column, most: int = 160) -> Column:
+    """A numbered source: title, then the first words, with dots where words are left out."""
+    words = F.split(F.btrim(F.regexp_replace(body, "\\s+", " ")), " ")
+    return F.concat(F.lit("["), number.cast("string"), F.lit("] "), title, F.lit("\n"), F.array_join(F.slice(words, 1, most), " "), F.when(F.size(words) > most, " ...").otherwise(""))

@@ -37,3 +37,22 @@ def best_unit(scores: DataFrame, doc: str) -> DataFrame:
     """MaxP: each document's best unit."""
     w = Window.partitionBy("qid", doc).orderBy(F.desc("score"), "unit")
     return scores.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def rerank_append(run: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """The first n of a run in the order of other scores (none: 0), then the rest as it was."""
+    j = run.withColumnRenamed("score", "old").join(scores, ["qid", "unit"], "left").withColumn("late", F.col("rank") > n)
+    key = F.when(F.col("late"), F.col("old")).otherwise(F.coalesce("score", F.lit(0.0)))
+    return j.select("qid", "unit", F.row_number().over(Window.partitionBy("qid").orderBy("late", key.desc(), "unit")).cast("long").alias("rank"))
+
+
+def alpha_curves(pooled: DataFrame, qrels: DataFrame, steps: int = 20, k: int = 10) -> DataFrame:
+    """qid, alpha, ndcg of the convex mixture for alpha = 0, 1/steps, .. 1; judgments are binary, queries without any are left out."""
+    mixed = pooled.select("qid", "unit", min_max("sparse").alias("s"), min_max("dense").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
+    mixed = mixed.withColumn("alpha", F.col("i") / steps).withColumn("score", F.round(F.col("alpha") * F.col("s") + (1 - F.col("alpha")) * F.col("t"), 6))
+    run = mixed.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "alpha").orderBy(F.desc("score"), "unit"))).where(F.col("rank") <= k)
+    gain = 1 / F.log2(F.col("rank") + 1.0)
+    rel = qrels.select("qid", F.col("doc_id").alias("unit"), F.lit(1).alias("hit"))
+    dcg = run.join(rel, ["qid", "unit"], "left").groupBy("qid", "alpha").agg(F.sum(F.when(F.col("hit") == 1, gain).otherwise(0.0)).alias("dcg"))
+    ideal = rel.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("unit"))).where(F.col("rank") <= k).groupBy("qid").agg(F.sum(gain).alias("idcg"))
+    return dcg.join(ideal, "qid").select("qid", "alpha", F.round(F.col("dcg") / F.col("idcg"), 6).alias("ndcg"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.index import Index, analyze, bm25_idf
+from quillstone.operators.index import Index, analyze, bm25_idf, champions as champion_lists
 
 
 def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -87,3 +87,39 @@ def top(scores: DataFrame, k: int, key: str = "unit") -> DataFrame:
     """The k best of each query, ties to the smaller id."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
     return scores.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def tiered(index: Index, terms: DataFrame, champions: int, least: int) -> DataFrame:
+    """Tier 1: queries whose champions cover enough units are scored on those alone; tier 2: the others on all units."""
+    few = bm25(index, terms, within=terms.join(champion_lists(index, champions), "term").select("qid", "unit").distinct())
+    enough = few.groupBy("qid").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("qid")
+    rest = bm25(index, terms.join(enough, "qid", "left_anti"))
+    return few.join(enough, "qid", "left_semi").withColumn("tier", F.lit(1)).unionByName(rest.withColumn("tier", F.lit(2)))
+
+
+def explain(body: Index, title: Index, terms: DataFrame, hits: DataFrame, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """One row for each hit and query term: its counts and its part of the body score; terms that a unit lacks have zeros."""
+    tf = F.col("tf")
+    rows = hits.select("qid", "unit").join(terms, "qid").join(body.units, "unit").join(F.broadcast(body.stats)).join(body.dictionary, "term", "left")
+    rows = rows.join(body.postings.select("unit", "term", "tf"), ["unit", "term"], "left").join(title.postings.select("unit", "term", F.col("tf").alias("ttf")), ["unit", "term"], "left")
+    part = F.col("qtf") * bm25_idf(F.col("df"), F.col("n")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("qid", "unit", "term", "qtf", z(F.col("df")).alias("df"), F.round(z(F.log10(F.col("n") / F.col("df"))), 3).alias("idf"), z(tf).alias("tf"), z(F.col("ttf")).alias("title_tf"), F.round(z(part), 6).alias("part"))
+
+
+def min_cover(index: Index, terms: DataFrame) -> DataFrame:
+    """qid, unit, n, width: the shortest stretch of text with all n query terms that the unit holds; 0 for a single term.
+
+    One pass over the hits in order of position; the state is the last place of each term, as many as a query has terms."""
+    hit = terms.join(index.postings, "term")
+    slot = F.row_number().over(Window.partitionBy("qid", "unit").orderBy("term")) - 1
+    flat = hit.withColumn("slot", slot).groupBy("qid", "unit").agg(F.count("*").alias("n"), F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("slot").alias("s"))))).alias("h"))
+
+    def step(state, h):
+        last = F.transform(state["last"], lambda x, i: F.when(i == h["s"], h["p"]).otherwise(x))
+        low = F.array_min(last)
+        return F.struct(last.alias("last"), F.when(low >= 0, F.least(state["best"], h["p"] - low + 1)).otherwise(state["best"]).alias("best"))
+
+    start = F.struct(F.array_repeat(F.lit(-1), F.col("n").cast("int")).alias("last"), F.lit(2147483647).alias("best"))
+    width = F.aggregate(F.sort_array("h"), start, step, lambda state: state["best"])
+    return flat.select("qid", "unit", "n", F.when(F.col("n") < 2, 0).otherwise(width).cast("long").alias("width"))

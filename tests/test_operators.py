@@ -4,6 +4,7 @@ import pytest
 from quillstone.functions import text as T
 from quillstone.operators import boolean
 from quillstone.plans import queries as plans
+from quillstone.plans import ranking  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def rows(names, data):
     return sorted([tuple(round(float(r[n]), 5) if isinstance(r[n], float) else str(r[n]) for n in names) for r in data], key=str)
 
 
-@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query"])
+@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token"])
 def test_against_oracle(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
     names = sorted(got.columns)
@@ -53,3 +54,37 @@ def test_boolean_grammar():
     assert boolean.parse("NOT x") == ("AND", [], [("TERM", "x")])
     with pytest.raises(ValueError):
         boolean.parse("a NOT")
+
+
+def test_porter_and_edit_distance(spark):
+    from quillstone.functions import stems
+
+    words = dict(caresses="caress", ponies="poni", cats="cat", feed="feed", agreed="agre", plastered="plaster", motoring="motor", sing="sing", conflated="conflat", hopping="hop", falling="fall", filing="file", happy="happi", enjoy="enjoy", relational="relat", digitizer="digit", operator="oper", hopefulness="hope", electrical="electr", adoption="adopt", probate="probat", rate="rate", controll="control", dying="die", dies="die", geology="geolog")
+    assert {w: stems.porter(w) for w in words} == words
+    assert [stems.osa(a, b, 3) for a, b in (("ca", "abc"), ("ab", "ba"), ("", "abc"), ("same", "same"), ("a", "bcdefg"))] == [3, 1, 3, 0, 4]
+    rows = spark.createDataFrame([("ab", "ba"), (None, "x")], "a string, b string").select(stems.edit_distance(F.col("a"), F.col("b"), 2).alias("d")).collect()
+    assert [r.d for r in rows] == [1, None]
+
+
+def test_chunk_spans():
+    from quillstone.operators.chunking import spans
+
+    assert spans([100, 80], 120, 1) == [{"start": 0, "end": 2}]
+    assert spans([100, 100, 100], 120, 1) == [{"start": 0, "end": 2}, {"start": 1, "end": 3}]
+    assert spans([500, 10], 120, 1) == [{"start": 0, "end": 2}]
+
+
+def test_index_and_json_round_trip(spark, tmp_path):
+    from quillstone.sources import store
+
+    index = plans._body(spark, SF)
+    store.save_index(index, f"{tmp_path}/i")
+    again = store.load_index(spark, f"{tmp_path}/i")
+    assert sorted(again.dictionary.collect()) == sorted(index.dictionary.collect()) and again.postings.count() == index.postings.count()
+    (tmp_path / "c.jsonl").write_text('{"id": 1, "evidence": {"7": [{"label": "SUPPORT", "sentences": [1, 2]}]}}\n\n{"id": 2, "evidence": {}}\n')
+    claims = store.read_jsonl(spark, f"{tmp_path}/c.jsonl", "id long, evidence map<string, array<struct<label: string, sentences: array<int>>>>")
+    assert sorted((r.id, len(r.evidence)) for r in claims.collect()) == [(1, 1), (2, 0)]
+    store.write_json(claims, f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\n1\ta\t1\n1\tb\t0\n")
+    assert [tuple(r) for r in store.read_qrels(spark, f"{tmp_path}/q.tsv").collect()] == [("1", "a", 1)]
