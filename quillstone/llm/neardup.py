@@ -27,12 +27,13 @@ from quillstone.llm.components import connected
 from quillstone.llm.durable import durable
 
 FUNCTIONS, TREES, LEAF, DEPTH = 64, 10, 64, 4
+#: Members of a large node that meet in one block pair, from either side.
+SIDE = 1024
 #: Bits of the filter of texts whose sets are wanted: 4 MB, whatever the input; a full filter only prunes less.
 FILTER_BITS = 1 << 25
 #: Four-bit sketch tokens out of FUNCTIONS that must agree: four standard deviations below what a pair of similarity 0.8 shows.
 AGREE = 38
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_NIBBLES = np.array([(not b & 15) + (not b >> 4) for b in range(256)], np.uint8)
 _NEVER = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -111,9 +112,19 @@ def _branch(root: bool):
     return run
 
 
+def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of packed sketches, row by row: the number of equal tokens."""
+    d = x.view(np.uint64) ^ y.view(np.uint64)
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return FUNCTIONS - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+
 def _compare(node, rep, n, comp, sketch, spanning: bool, percent: int):
-    """All pairs inside nodes (rows sorted by node and n), by distance: (left row, right row, agreeing tokens) of those that may be linked."""
+    """All pairs inside nodes (rows sorted by node and n), by distance: (left row, right row, agreeing tokens) of those that may be linked;
+    without `spanning`, the rows that are in such a pair of two components, twice."""
     left, right, agreed = [], [], []
+    met = np.zeros(len(node), bool)
     lag, at = 1, np.arange(len(node) - 1)
     while len(at):
         at = at[at + lag < len(node)]
@@ -124,16 +135,21 @@ def _compare(node, rep, n, comp, sketch, spanning: bool, percent: int):
             test = test[comp[test] != comp[test + lag]]
         for c in range(0, len(test), 100_000):
             i = test[c : c + 100_000]
-            same = _NIBBLES[sketch[i] ^ sketch[i + lag]].sum(1)
+            same = _same(sketch[i], sketch[i + lag])
             ok = same >= AGREE
+            if not spanning:
+                met[i[ok]] = met[i[ok] + lag] = True
+                continue
             left.append(i[ok])
             right.append(i[ok] + lag)
             agreed.append(same[ok])
         lag += 1
+    if not spanning:
+        return np.flatnonzero(met), np.flatnonzero(met), np.zeros(met.sum(), np.int64)
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     left, right, agreed = np.concatenate(left), np.concatenate(right), np.concatenate(agreed).astype(np.int64)
-    if spanning and len(left):  # of each row, its first partner and its best one
+    if len(left):  # of each row, its first partner and its best one
         order = np.lexsort((left, right))
         firsts = order[np.r_[True, right[order][1:] != right[order][:-1]]]
         order = np.lexsort((left, -agreed, right))
@@ -214,14 +230,7 @@ def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
         rows = sig.join(large, "rep").select("rep", "n", "comp", "sig", "node").mapInArrow(_branch(False), _ROWS)
     if many:
         members = sig.join(large, "rep").select("node", "rep", "n", "comp", "sig")
-        member = F.struct(F.expr("xxhash64(rep)").alias("h"), "rep", "n", "comp", "sig")
-        stats = members.groupBy("node").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("blocks"), F.min(member).alias("low"), F.max(member).alias("high"))
-        stats = durable(stats)
-        salted = members.join(stats.select("node", "blocks"), "node").withColumn("node", F.expr("xxhash64(node, pmod(xxhash64(rep, 7), blocks))"))
-        spread = stats.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "block", F.explode(F.array("low", "high")).alias("p"))
-        pivots = spread.select(F.expr("xxhash64(node, cast(block as int))").alias("node"), "p.rep", "p.n", "p.comp", "p.sig")
-        packed = salted.select("node", "rep", "n", "comp", "sig").union(pivots)
-        found.append(durable(level(packed.mapInArrow(_pack, _ROWS), None)).where("agreed >= 0"))
+        found.append(durable(level(_dealt(members) if spanning else _crossed(members), None)).where("agreed >= 0"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -230,6 +239,29 @@ def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
     return out.select("a", "b", "agreed").groupBy("a", "b").agg(F.max("agreed").alias("agreed"))
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of large nodes, in blocks with the node's two pivots: few pairs, for round one only."""
+    member = F.struct(F.expr("xxhash64(rep)").alias("h"), "rep", "n", "comp", "sig")
+    stats = durable(members.groupBy("node").agg(F.ceil(F.count("*") / (4 * LEAF)).alias("blocks"), F.min(member).alias("low"), F.max(member).alias("high")))
+    block = "xxhash64(node, cast({} as long))"  # the hash of an int would be another one
+    salted = members.join(stats.select("node", "blocks"), "node").withColumn("node", F.expr(block.format("pmod(xxhash64(rep, node), blocks)")))
+    spread = stats.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("node", "block", F.explode(F.array("low", "high")).alias("p"))
+    pivots = spread.select(F.expr(block.format("block")).alias("node"), "p.rep", "p.n", "p.comp", "p.sig")
+    return salted.select("node", "rep", "n", "comp", "sig").union(pivots).mapInArrow(_pack, _ROWS)
+
+
+def _crossed(members: DataFrame) -> DataFrame:
+    """Members of large nodes, in pairs of blocks: any two members of different components meet in one.
+
+    The node's largest component has blocks of its own, which meet those of the other members only; nodes of one component are left out."""
+    count = members.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
+    sides = count.where("`all` > top.k").select("node", F.col("top.comp").alias("main"), F.expr(f"ceil(top.k / {SIDE})").alias("mains"), F.expr(f"ceil((`all` - top.k) / {SIDE})").alias("others"))
+    rows = members.mapInArrow(_pack, _ROWS).join(durable(sides), "node").withColumn("own", F.expr("pmod(xxhash64(rep, node), if(comp = main, mains, others))"))
+    outer = "transform(sequence(0L, others - 1), x -> xxhash64(node, 0L, own, x))"
+    inner = "concat(transform(sequence(0L, mains - 1), x -> xxhash64(node, 0L, x, own)), transform(sequence(0L, others - 1), x -> xxhash64(node, 1L, least(x, own), greatest(x, own))))"
+    return rows.select(F.explode(F.expr(f"if(comp = main, {outer}, {inner})")).alias("node"), "rep", "n", "comp", "sketch")
+
+
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         if len(batch):
@@ -306,16 +338,25 @@ def _links(percent: int):
                 c = top[c]
             return c
 
+        if len(reps) < 2:
+            return []
         out, arrays = [], [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
-        for i in range(len(reps)):
-            for j in range(i):
-                small, large = sorted((len(arrays[i]), len(arrays[j])))
-                if 100 * small < percent * large or root(comps[i]) == root(comps[j]):
-                    continue
-                both = np.concatenate([arrays[i], arrays[j]])
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * common >= percent * (len(both) - common):
+        size, own = np.array([len(x) for x in arrays]), np.array(comps)
+        _, column, times = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(reps)), size), times > 1
+        use = shared[column]
+        row, column, width = row[use], (np.cumsum(shared) - 1)[column[use]], int(shared.sum())
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(reps), len(reps)), np.float32)
+        for c in range(0, width, 2048):
+            lo, hi = np.searchsorted(column, [c, c + 2048])
+            has = np.zeros((len(reps), min(2048, width - c)), np.float32)
+            has[row[lo:hi], column[lo:hi] - c] = 1
+            common += has @ has.T
+        for i in range(1, len(reps)):
+            for j in np.flatnonzero(((100 + percent) * common[i, :i].astype(np.int64) >= percent * (size[i] + size[:i])) & (own[:i] != own[i])).tolist():
+                if root(comps[i]) != root(comps[j]):
                     out.append((reps[i], reps[j]))
                     top[root(comps[i])] = root(comps[j])
         return out

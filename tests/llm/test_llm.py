@@ -88,6 +88,47 @@ def test_near_duplicates(spark, docs):
     assert {r.uid: r.component for r in got} == root and {r.uid: r.n for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def _set(t):
+    w = t.split()
+    return set(zip(w, w[1:]))
+
+
+def _roots(texts):
+    """Components of the texts by all pairs of their sets, through a matrix of the shared pairs of words."""
+    sets = [_set(t) for t in texts]
+    column = {}
+    has = np.zeros((len(sets), len(set().union(*sets))), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [column.setdefault(g, len(column)) for g in x]] = 1
+    common, size = has @ has.T, has.sum(1)
+    linked = 180 * common >= 80 * (size[:, None] + size)
+    root = np.arange(len(sets))
+    while True:
+        now = np.array([root[x].min() for x in linked])
+        if (now == root).all():
+            return root.tolist()
+        root = now
+
+
+def _components(spark, texts):
+    from pyspark.sql import functions as F
+
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "uid long, t string").repartition(4, F.col("uid")), 2).collect()
+    return [r.component for r in sorted(got)]
+
+
+@pytest.mark.parametrize("count", [300, 1000, 5000])
+def test_near_copies_that_differ_at_the_end(spark, count):
+    text = " ".join(f"w{i}" for i in range(100))
+    assert set(_components(spark, [f"{text} id{i}" for i in range(count)])) == {0}
+
+
+def test_copies_of_two_large_nodes_stay_apart(spark):
+    one, two = (" ".join(f"{c}{i % 2 and i or c + str(i)}" for i in range(100)) for c in "ab")
+    got = _components(spark, [f"{(one, two)[i % 2]} id{i}" for i in range(600)])
+    assert set(got[::2]) == {0} and set(got[1::2]) == {1}
+
+
 def test_mix(spark, docs):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.copies <= 2 for r in got)
