@@ -1,13 +1,14 @@
 """Near-duplicate detection by the chosen-path set similarity join (operator 7).
 
 * Texts with the same shingle set are one class from the start; the rest works on class representatives.
-* A tree puts representatives into nodes: a node picks one or two of the minwise functions (1/similarity of them on average, so a linked
-  pair stays together with constant probability at every level) and sends each member to the child of each function's minwise token.
+* A tree puts representatives into nodes: a node picks one or two of the minwise functions (1.5 on average, more than 1/similarity, so that a
+  linked pair stays together although its signatures may show a lower similarity than its sets) and sends each member to the child of each function's minwise token.
   Paths depend on a member's own signature alone, so a level is one shuffle by node.
-* Nodes of up to `leaf` members are compared exhaustively on packed minwise sketches; larger ones branch again.  What is still large at
-  the last level (many near copies of one text) is dealt to salted blocks, each with the node's pivots.
-* Independent trees are repeated; a pair of similarity 0.8 stays unseen by one tree in about 0.3 of cases at most levels that occur, so by all
-  ten in 1e-5.
+* Nodes of up to `leaf` members are compared exhaustively on packed minwise sketches; larger ones branch again, each until nine of ten members
+  are alike or to the last level.  What is still large is joined whole in round two: its blocks meet in pairs, so no pair of two components is lost.
+  In round one its members are dealt to blocks with the node's pivots, which only spares work.
+* Independent trees are repeated; by the branching law a tree loses a pair whose signatures agree in 0.8 of places in 0.12, 0.19, 0.24 and 0.27 of
+  cases by level 1, 2, 3 and 4 (0.16, 0.25, 0.32, 0.36 if they agree in 0.75), so all ten lose it in up to 2e-6 (4e-5) of cases.
 * Round one verifies few pairs of each member (its first and its best partner) on the full sets and finds components; round two brings the
   full sets of members that may have a partner in another component to their nodes, and compares all of them there.  No partner or candidate is
   capped: what round one leaves out joins texts that are in one component already, or it comes up in round two.
@@ -16,6 +17,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ from quillstone.llm.bytescan import mix, rolling, scan
 from quillstone.llm.components import connected
 from quillstone.llm.durable import durable
 
-FUNCTIONS, TREES, LEAF, DEPTH = 64, 10, 64, 4
+FUNCTIONS, TREES, LEAF, DEPTH = 64, 10, 256, 4
 #: Members of a large node that meet in one block pair, from either side.
 SIDE = 1024
 #: Bits of the filter of texts whose sets are wanted: 4 MB, whatever the input; a full filter only prunes less.
 FILTER_BITS = 1 << 25
 #: Four-bit sketch tokens out of FUNCTIONS that must agree: four standard deviations below what a pair of similarity 0.8 shows.
 AGREE = 38
+#: Tokens that agree with a node's first member where another level would hardly part them: similarity about 0.9.
+ALIKE = 58
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _NEVER = np.uint64(0x2545F4914F6CDD1D)
 
@@ -101,7 +105,7 @@ def _branch(root: bool):
             pick = mix(node + _NEVER)
             first = pick % np.uint64(FUNCTIONS)
             second = (first + np.uint64(1) + (pick >> np.uint64(8)) % np.uint64(FUNCTIONS - 1)) % np.uint64(FUNCTIONS)
-            also = np.flatnonzero((pick >> np.uint64(32)) % np.uint64(4) == 0)  # 1.25 functions on average
+            also = np.flatnonzero((pick >> np.uint64(32)) % np.uint64(2) == 0)  # 1.5 functions on average
             node, row, f = np.r_[node, node[also]], np.r_[row, row[also]], np.r_[first, second[also]]
             child = mix(node * np.uint64(0x9E3779B97F4A7C15) + mix(f << np.uint64(32) | sig[row, f.astype(np.int64)]))
             for c in range(0, len(row), 50_000):
@@ -160,24 +164,29 @@ def _compare(node, rep, n, comp, sketch, spanning: bool, percent: int):
 
 
 def _nodes(spanning: bool, percent: int, leaf: int | None):
-    """Rows sorted by node -> pairs of nodes of up to `leaf` members (any, if None), and the members of larger nodes."""
+    """Rows sorted by node -> pairs of nodes of up to `leaf` members (any, if None), and the members of larger nodes: their component, and
+    -2 if they are alike to the node's first member, else -1."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, passing = None, None  # the last node's rows so far; the large node that is being passed on
+        keep, passing, lead = None, None, None  # the last node's rows so far; the large node that is being passed on, and its first sketch
 
         def out(cols, large, last):
-            nonlocal keep, passing
+            nonlocal keep, passing, lead
             node, rep, n, comp, sketch = cols
             edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
             size = np.diff(np.r_[edges, len(node)])
             per = np.repeat(size, size)
             big = (per > leaf) if leaf else np.zeros(len(node), bool)
+            first = sketch[np.repeat(edges, size)]
             if passing is not None:
                 big |= node == passing
+                first[node == passing] = lead
+            agree = np.where(_same(sketch[big], first[big]) >= ALIKE, -2, -1)
+            told = rep[big], comp[big], agree, node[big]
             if not last and len(node):
                 tail = node == node[-1]
                 if big[-1]:
-                    passing, keep = node[-1], None
+                    passing, keep, lead = node[-1], None, first[-1].copy()
                 else:
                     keep = [x[tail] for x in cols]
                     big, tail = big & ~tail, ~tail
@@ -190,8 +199,7 @@ def _nodes(spanning: bool, percent: int, leaf: int | None):
             if not spanning:  # members, not pairs: a row for each that has a partner in this node
                 use = np.unique(np.r_[l, r])
                 a, b, agreed, at = rep[s][use], comp[s][use], n[s][use], node[s][use]
-            none = np.zeros(int(big.sum()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, rep[big]]), pa.array(np.r_[b, none]), pa.array(np.r_[agreed, none - 1]), pa.array(np.r_[at, node[big]])], ["a", "b", "agreed", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y]) for x, y in zip((a, b, agreed, at), told)], ["a", "b", "agreed", "node"])
 
         for batch in it:
             if not len(batch):
@@ -218,18 +226,22 @@ def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
         return rows.repartition("node").sortWithinPartitions("node", "n", "rep").mapInArrow(_nodes(spanning, percent, leaf), _FOUND)
 
     sig = reps.select("rep", "n", "comp", "sig")
-    found, rows, before = [], sig.mapInArrow(_branch(True), _ROWS), None
+    found, whole, rows = [], [], sig.mapInArrow(_branch(True), _ROWS)
     for depth in range(DEPTH):
         now = durable(level(rows, LEAF))
         found.append(now.where("agreed >= 0"))
-        large = now.where("agreed < 0").select("node", F.col("a").alias("rep"))
-        many = large.count()
-        if not many or before is not None and many > before:  # none left, or copies that no level will part
+        large = now.where("agreed < 0").select("node", F.col("a").alias("rep"), "b", "agreed")
+        alike = F.avg(F.when(F.col("agreed") == -2, 1).otherwise(0)) >= 0.9
+        fates = large.groupBy("node").agg((alike | F.lit(depth == DEPTH - 1)).alias("done"), (F.min("b") < F.max("b")).alias("mixed"))
+        fates = durable(fates if spanning else fates.where("mixed"))  # a node of one component has nothing to join, nor have its children
+        have = {r["done"] for r in fates.select("done").distinct().collect()}
+        if True in have:
+            whole.append(large.join(fates.where("done"), "node").select("node", "rep"))
+        if False not in have:
             break
-        before = many
-        rows = sig.join(large, "rep").select("rep", "n", "comp", "sig", "node").mapInArrow(_branch(False), _ROWS)
-    if many:
-        members = sig.join(large, "rep").select("node", "rep", "n", "comp", "sig")
+        rows = sig.join(large.join(fates.where("not done"), "node").select("node", "rep"), "rep").select("rep", "n", "comp", "sig", "node").mapInArrow(_branch(False), _ROWS)
+    if whole:
+        members = sig.join(reduce(DataFrame.union, whole), "rep").select("node", "rep", "n", "comp", "sig")
         found.append(durable(level(_dealt(members) if spanning else _crossed(members), None)).where("agreed >= 0"))
     out = found[0]
     for x in found[1:]:
@@ -242,7 +254,7 @@ def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
 def _dealt(members: DataFrame) -> DataFrame:
     """Members of large nodes, in blocks with the node's two pivots: few pairs, for round one only."""
     member = F.struct(F.expr("xxhash64(rep)").alias("h"), "rep", "n", "comp", "sig")
-    stats = durable(members.groupBy("node").agg(F.ceil(F.count("*") / (4 * LEAF)).alias("blocks"), F.min(member).alias("low"), F.max(member).alias("high")))
+    stats = durable(members.groupBy("node").agg(F.ceil(F.count("*") / LEAF).alias("blocks"), F.min(member).alias("low"), F.max(member).alias("high")))
     block = "xxhash64(node, cast({} as long))"  # the hash of an int would be another one
     salted = members.join(stats.select("node", "blocks"), "node").withColumn("node", F.expr(block.format("pmod(xxhash64(rep, node), blocks)")))
     spread = stats.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("node", "block", F.explode(F.array("low", "high")).alias("p"))

@@ -129,6 +129,25 @@ def test_copies_of_two_large_nodes_stay_apart(spark):
     assert set(got[::2]) == {0} and set(got[1::2]) == {1}
 
 
+def test_hot_templated_source(spark):
+    r = random.Random(11)
+    body = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(600):
+        own = list(body)
+        for at in r.sample(range(0, 200, 2), 9):  # two of them have a similarity near 0.7
+            own[at] = f"x{i}-{at}"
+        other = list(own)
+        for at in r.sample([at for at in range(0, 200, 2) if own[at] == body[at]], 10):
+            other[at] = f"y{i}-{at}"
+        texts += [" ".join(own), " ".join(other)]
+    want = _roots(texts)
+    linked = sum(want[i] == want[i + 1] for i in range(0, 1200, 2))
+    assert linked == 600 and len(set(want)) > 500
+    got = _components(spark, texts)
+    assert sum(got[i] == got[i + 1] for i in range(0, 1200, 2)) == linked and got == want
+
+
 def test_mix(spark, docs):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.copies <= 2 for r in got)
