@@ -1,7 +1,7 @@
-"""License scans with a positional rare-token index (operator 5).
+"""License scans with a positional token index (operator 5).
 
-The licence words' document frequencies over the whole corpus give their IDF.  Each file is looked up by the rarest licence words it holds;
-the postings of the templates for these words give relative positions (place in the file minus place in the template), and
+The licence words' document frequencies over the whole corpus give their IDF.  Each template whose mandatory key phrase stands in the file is
+looked up by all its words that the file holds; their postings give relative positions (place in the file minus place in the template), and
 a template is aligned where several of them agree.  The share of the template's IDF found there is its score, and it counts only
 if its mandatory key phrase stands in the file.
 """
@@ -29,8 +29,8 @@ TEMPLATES = {
     "cc-by": ("this work is licensed under a creative commons attribution international license", "creative commons attribution"),
     "reserved": ("copyright all rights reserved no part of this publication may be reproduced without permission", "all rights reserved"),
 }
-#: Rarest licence words of a file whose postings are read, share of a template's IDF that makes a label, widest shift between agreeing postings.
-RAREST, LEAST_SHARE, SHIFT = 8, 0.6, 2
+#: Share of a template's IDF that makes a label, widest shift between agreeing postings.
+LEAST_SHARE, SHIFT = 0.6, 2
 
 
 def _hash(text: str) -> np.ndarray:
@@ -45,7 +45,7 @@ class Index:
         self.phrases = [(_hash(p), label) for p, label in phrases.items()]
         self.templates = [(label, _hash(t), _hash(k)) for label, (t, k) in templates.items()]
         self.vocab = np.unique(np.concatenate([p for p, _ in self.phrases] + [x for _, t, k in self.templates for x in (t, k)]))
-        self.postings = [[(t, int(p)) for t, (_, words, _) in enumerate(self.templates) for p in np.flatnonzero(words == w)] for w in self.vocab]
+        self.numbers = [np.searchsorted(self.vocab, words) for _, words, _ in self.templates]
 
 
 def _known(index: Index, h: np.ndarray) -> np.ndarray:
@@ -76,6 +76,16 @@ def _frequencies(index: Index):
     return run
 
 
+def _starts(numbers: np.ndarray, held: np.ndarray, at: np.ndarray, vocab: int) -> np.ndarray:
+    """Where a template may begin in a file: two different words of it, at least, agree up to SHIFT."""
+    found = [(at[held == w] - q, w) for q, w in enumerate(numbers)]
+    start = np.concatenate([np.add.outer(x, np.arange(-SHIFT, SHIFT + 1)).ravel() for x, _ in found])
+    word = np.repeat([w for _, w in found], [len(x) * (2 * SHIFT + 1) for x, _ in found])
+    pairs = np.unique(start * vocab + word)
+    start, hits = np.unique(pairs // vocab, return_counts=True)
+    return start[hits > 1]
+
+
 def _match(index: Index, idf: np.ndarray, h: np.ndarray, known: np.ndarray, at: np.ndarray) -> tuple[dict[str, float], int, int, int, set]:
     """Of one file, whose vocabulary words stand at `at`: template scores, base places, first and last place, base labels."""
     places, first, last, base = 0, None, None, set()
@@ -86,23 +96,17 @@ def _match(index: Index, idf: np.ndarray, h: np.ndarray, known: np.ndarray, at:
             base.add(label)
             first, last = min(found[0], first if first is not None else found[0]), max(found[-1], last or 0)
     scores: dict[str, float] = {}
-    own = np.unique(known[at])
-    rare = own[np.lexsort((own, -idf[own]))][:RAREST]
-    starts: dict[tuple[int, int], set] = {}
-    for w in rare:
-        for p in at[known[at] == w]:
-            for t, q in index.postings[w]:
-                for s in range(-SHIFT, SHIFT + 1):
-                    starts.setdefault((t, int(p) - q + s), set()).add(w)
-    for (t, start), hit in starts.items():
-        label, words, key = index.templates[t]
-        if len(hit) < 2 or scores.get(label) == 1:
+    for (label, words, key), numbers in zip(index.templates, index.numbers):
+        if not len(_stands(h, at[h[at] == key[0]], key)):
             continue
-        near = h[max(0, start - SHIFT) : max(0, start + len(words) + SHIFT)]
-        weight = idf[_known(index, words)]
-        share = float(weight[np.isin(words, near)].sum() / weight.sum())
-        if share >= LEAST_SHARE and share > scores.get(label, 0) and len(_stands(h, at[h[at] == key[0]], key)):
-            scores[label] = min(1.0, share)
+        weight = idf[numbers]
+        for start in _starts(numbers, known[at], at, len(index.vocab)):
+            if scores.get(label) == 1:
+                break
+            near = h[max(0, start - SHIFT) : max(0, start + len(words) + SHIFT)]
+            share = float(weight[np.isin(words, near)].sum() / weight.sum())
+            if share >= LEAST_SHARE and share > scores.get(label, 0):
+                scores[label] = min(1.0, share)
     return scores, places, first, last, base
 
 

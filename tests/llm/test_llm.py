@@ -185,6 +185,17 @@ def test_licenses(spark):
     assert got[3].labels == "mit" and got[3].n_base == 0 and got[2].labels == got[4].labels == ""
 
 
+def test_a_file_with_all_licenses(spark):
+    whole = " ".join(t for t, _ in licenses.TEMPLATES.values())
+    apart = " and then some other words follow here ".join(t for t, _ in reversed(licenses.TEMPLATES.values()))
+    df = spark.createDataFrame([(1, whole), (2, apart), (3, "no licence at all in here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    every = sorted(licenses.TEMPLATES)
+    for i in (1, 2):
+        assert got[i].labels.split(",") == every and got[i].spans == [f"{k}:1.0000" for k in every]
+    assert got[3].labels == ""
+
+
 def test_urls(spark):
     cases = {1: "http://a.Example.com/en/7?x", 2: "https://com/en/", 3: None, 4: "nothing", 5: "x://xcom/en/", 6: "http://b.org?/es/", 7: "http://a.net/x.com/en/", 8: "http://é.net/de/" + "y" * 500}
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(list(cases.items()), "page_id long, url string")).collect()}
