@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks (operator 10).
+"""Substring dedup by hashed runs under repeated anchors, in slices of the hash space (operator 10); no Lempel-Ziv factors are built.
 
 1. Anchors: winnowing picks, from every run of `window` words, the smallest hash of `gram` consecutive words.  Two equal runs pick
    the same anchor, so a run can only repeat if its anchor occurs at least twice (counted in Spark over all texts).
 2. Reference blocks: the runs whose anchor repeats are indexed by hash; a slice of the hash space is one block and holds
    whatever part of the corpus falls into it, from all documents.
-3. Parsing: each document is factored greedily from left to right against the blocks' entries; a factor is the longest stretch whose
-   consecutive runs are all found at another place.  Runs are looked up at every position, so also across the borders of
-   factors.  A factor of `window` words or more is a duplicate span.
+3. Spans: a run of `window` words that a block holds twice or more is marked at each of its places; runs are looked up at every
+   position, and a duplicate span is a union of marked runs, so no factor lengths are needed.
 
 Everything is decided on the input as a whole: every copy of a repeated passage goes, the first one included.
 """
