@@ -2,16 +2,18 @@
 
 * Texts with the same shingle set are one class from the start; the rest works on class representatives.
 * A tree puts representatives into nodes: a node picks one or two of the minwise functions (1.5 on average, more than 1/similarity, so that a
-  linked pair stays together although its signatures may show a lower similarity than its sets) and sends each member to the child of each function's minwise token.
-  Paths depend on a member's own signature alone, so a level is one shuffle by node.
-* Nodes of up to `leaf` members are compared exhaustively on packed minwise sketches; larger ones branch again, each until nine of ten members
-  are alike or to the last level.  What is still large is joined whole in round two: its blocks meet in pairs, so no pair of two components is lost.
-  In round one its members are dealt to blocks with the node's pivots, which only spares work.
-* Independent trees are repeated; by the branching law a tree loses a pair whose signatures agree in 0.8 of places in 0.12, 0.19, 0.24 and 0.27 of
-  cases by level 1, 2, 3 and 4 (0.16, 0.25, 0.32, 0.36 if they agree in 0.75), so all ten lose it in up to 2e-6 (4e-5) of cases.
-* Round one verifies few pairs of each member (its first and its best partner) on the full sets and finds components; round two brings the
-  full sets of members that may have a partner in another component to their nodes, and compares all of them there.  No partner or candidate is
-  capped: what round one leaves out joins texts that are in one component already, or it comes up in round two.
+  linked pair stays together although its signatures may show a lower similarity than its sets) and sends each member to the child of each
+  function's minwise token.  The first level goes by whole tokens and is one shuffle; a row carries a packed sketch of four bits a function,
+  by which deeper levels branch where the row is.
+* A task solves a node of up to HELD members (a few MB of sketches) by itself: up to LEAF members are compared exhaustively; larger nodes whose
+  members differ branch again, each by its own decision; a node whose members are alike is compared whole, as branching would not part it.
+  Nodes above HELD branch again in Spark, and what is still large after DEPTH levels meets in pairs of blocks, so no pair is lost there either.
+* Independent trees are repeated: a pair whose signatures agree in 0.8 of places stays together with 0.88 a level, so all trees lose it in
+  3e-6 of cases after one level, in 2e-4 after three.
+* Round one verifies few pairs of each member (its first and best partner, and the centre of a large node of alike texts) on the full sets and
+  finds components; round two brings the full sets of members that may have a partner in another component to their nodes, and compares all
+  of them there.  No partner or candidate is capped: what round one leaves out joins texts that are in one component already, or it comes up in
+  round two.
 """
 
 from __future__ import annotations
@@ -28,15 +30,19 @@ from quillstone.llm.bytescan import mix, rolling, scan
 from quillstone.llm.components import connected
 from quillstone.llm.durable import durable
 
-FUNCTIONS, TREES, LEAF, DEPTH = 64, 10, 256, 4
+FUNCTIONS, TREES, LEAF, DEPTH = 64, 6, 256, 4
+#: Members of a node that one task solves by itself: 8192 sketches are 0.3 MB.
+HELD = 8192
 #: Members of a large node that meet in one block pair, from either side.
 SIDE = 1024
+#: Pairs of one text that are verified in one place.
+PAIRS = 2048
 #: Bits of the filter of texts whose sets are wanted: 4 MB, whatever the input; a full filter only prunes less.
 FILTER_BITS = 1 << 25
 #: Four-bit sketch tokens out of FUNCTIONS that must agree: four standard deviations below what a pair of similarity 0.8 shows.
 AGREE = 38
-#: Tokens that agree with a node's first member where another level would hardly part them: similarity about 0.9.
-ALIKE = 58
+#: Tokens that agree with the commonest ones of a node, on average, where branching would hardly part it.
+ALIKE = 32
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _NEVER = np.uint64(0x2545F4914F6CDD1D)
 
@@ -87,33 +93,58 @@ def _matrix(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(-1, width)
 
 
-def _branch(root: bool):
-    """Members of large nodes (of the roots of all trees, to begin with) -> members of their children."""
+def _sketches(rows: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, 32 * len(rows) + 1, 32, dtype=np.int32)), pa.py_buffer(rows.tobytes())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if not len(batch):
-                continue
-            rep, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sig = _matrix(batch.column(3), np.uint32, FUNCTIONS)
-            low = (sig & np.uint32(15)).astype(np.uint8)
-            sketch = low[:, ::2] | low[:, 1::2] << 4
-            if root:
-                node, row = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(rep)), np.tile(np.arange(len(rep)), TREES)
-            else:
-                node, row = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64), np.arange(len(rep))
-            pick = mix(node + _NEVER)
-            first = pick % np.uint64(FUNCTIONS)
-            second = (first + np.uint64(1) + (pick >> np.uint64(8)) % np.uint64(FUNCTIONS - 1)) % np.uint64(FUNCTIONS)
-            also = np.flatnonzero((pick >> np.uint64(32)) % np.uint64(2) == 0)  # 1.5 functions on average
-            node, row, f = np.r_[node, node[also]], np.r_[row, row[also]], np.r_[first, second[also]]
-            child = mix(node * np.uint64(0x9E3779B97F4A7C15) + mix(f << np.uint64(32) | sig[row, f.astype(np.int64)]))
-            for c in range(0, len(row), 50_000):
-                r = row[c : c + 50_000]
-                flat = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(np.arange(0, 32 * len(r) + 1, 32, dtype=np.int32)), pa.py_buffer(sketch[r].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(child[c : c + 50_000].view(np.int64)), pa.array(rep[r]), pa.array(n[r]), pa.array(comp[r]), flat], ["node", "rep", "n", "comp", "sketch"])
 
-    return run
+def _choices(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The functions that nodes pick: (place in `node`, function), 1.5 of them on average."""
+    pick = mix(node + _NEVER)
+    first = pick % np.uint64(FUNCTIONS)
+    second = (first + np.uint64(1) + (pick >> np.uint64(8)) % np.uint64(FUNCTIONS - 1)) % np.uint64(FUNCTIONS)
+    also = np.flatnonzero((pick >> np.uint64(32)) % np.uint64(2) == 0)
+    return np.r_[np.arange(len(node)), also], np.r_[first, second[also]]
+
+
+def _child(node: np.ndarray, f: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(node * np.uint64(0x9E3779B97F4A7C15) + mix(f << np.uint64(32) | token.astype(np.uint64)))
+
+
+def _roots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Representatives -> members of the children of all trees' roots."""
+    for batch in it:
+        if not len(batch):
+            continue
+        rep, n, comp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sig = _matrix(batch.column(3), np.uint32, FUNCTIONS)
+        low = (sig & np.uint32(15)).astype(np.uint8)
+        sketch = low[:, ::2] | low[:, 1::2] << 4
+        for tree in range(1, TREES + 1):
+            root = np.array([tree], np.uint64)
+            for f in _choices(root)[1]:
+                node = _child(root, np.array([f]), sig[:, int(f)])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep), pa.array(n), pa.array(comp), _sketches(sketch)], ["node", "rep", "n", "comp", "sketch"])
+
+
+def _deeper(cols: list) -> list:
+    """Members of nodes -> members of their children, by the sketches."""
+    node, rep, n, comp, sketch = cols
+    row, f = _choices(node.view(np.uint64))
+    at = f.astype(np.int64)
+    token = sketch[row, at >> 1] >> ((at & 1) << 2).astype(np.uint8) & np.uint8(15)
+    return [_child(node.view(np.uint64)[row], f, token).view(np.int64), rep[row], n[row], comp[row], sketch[row]]
+
+
+def _branch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        if len(batch):
+            cols = _deeper(_columns(batch))
+            for c in range(0, len(cols[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[c : c + 50_000]) for x in cols[:4]), _sketches(cols[4][c : c + 50_000])], ["node", "rep", "n", "comp", "sketch"])
+
+
+def _columns(batch: pa.RecordBatch) -> list:
+    return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), _matrix(batch.column(4), np.uint8, FUNCTIONS // 2)]
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -163,103 +194,164 @@ def _compare(node, rep, n, comp, sketch, spanning: bool, percent: int):
     return left, right, agreed
 
 
-def _nodes(spanning: bool, percent: int, leaf: int | None):
-    """Rows sorted by node -> pairs of nodes of up to `leaf` members (any, if None), and the members of larger nodes: their component, and
-    -2 if they are alike to the node's first member, else -1."""
+def _sorted(cols: list) -> list:
+    order = np.lexsort((cols[1], cols[2], cols[0]))
+    return [x[order] for x in cols]
+
+
+def _agreement(sketch: np.ndarray) -> np.ndarray:
+    """How many of a node's commonest tokens each member has."""
+    out = np.zeros(len(sketch), np.int64)
+    for f in range(FUNCTIONS):
+        token = sketch[:, f >> 1] >> np.uint8((f & 1) << 2) & np.uint8(15)
+        out += token == np.bincount(token, minlength=16).argmax()
+    return out
+
+
+def _spanning(cols: list, agreement: np.ndarray) -> Iterator[tuple]:
+    """A large node of alike members, in round one: each with the member nearest to their centre, and all pairs of neighbours in size."""
+    node, rep, n, comp, sketch = cols
+    centre = int(np.argmax(agreement))
+    same, other = _same(sketch, np.broadcast_to(sketch[centre], sketch.shape).copy()), rep != rep[centre]
+    yield np.minimum(rep, rep[centre])[other], np.maximum(rep, rep[centre])[other], same[other], node[other]
+    yield from _pairs([np.arange(len(node)) // LEAF, rep, n, comp, sketch], True, 0)
+
+
+def _crossing(cols: list, percent: int) -> np.ndarray:
+    """Of a large node: rows that may be linked with one of another component. Each row outside the largest component meets all others."""
+    node, rep, n, comp, sketch = cols
+    names, number = np.unique(comp, return_inverse=True)
+    met, rest = np.zeros(len(node), bool), np.flatnonzero(number != np.bincount(number).argmax())
+    for i in rest.tolist():
+        lo, hi = np.searchsorted(n, [-(-percent * n[i] // 100), 100 * n[i] // percent + 1])  # n ascends
+        ok = _same(sketch[lo:hi], np.broadcast_to(sketch[i], (hi - lo, sketch.shape[1])).copy()) >= AGREE
+        ok &= comp[lo:hi] != comp[i]
+        if ok.any():
+            met[i] = True
+            met[lo:hi] |= ok
+    return np.flatnonzero(met)
+
+
+def _pairs(cols: list, spanning: bool, percent: int) -> Iterator[tuple]:
+    node, rep, n, comp, sketch = cols
+    l, r, agreed = _compare(node, rep, n, comp, sketch, spanning, percent)
+    if spanning:
+        yield np.minimum(rep[l], rep[r]), np.maximum(rep[l], rep[r]), agreed, np.zeros(len(l), np.int64)
+    else:  # members, not pairs: a row for each that has a partner in this node
+        yield rep[l], comp[l], n[l], node[l]
+
+
+def _solve(cols: list, spanning: bool, percent: int, depth: int) -> Iterator[tuple]:
+    """Whole nodes, sorted by node and n -> (a, b, agreed, node), or (rep, comp, n, node) without `spanning`."""
+    node = cols[0]
+    edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[edges, len(node)])
+    if not spanning and len(node):  # a node of one component has nothing to join
+        mixed = np.minimum.reduceat(cols[3], edges) < np.maximum.reduceat(cols[3], edges)
+        keep = np.repeat(mixed, size)
+        cols, size = [x[keep] for x in cols], size[mixed]
+        edges = np.r_[0, np.cumsum(size)][:-1]
+    large = np.repeat(size > LEAF, size)
+    yield from _pairs([x[~large] for x in cols], spanning, percent)
+    for at, k in zip(edges[size > LEAF].tolist(), size[size > LEAF].tolist()):
+        one = [x[at : at + k] for x in cols]
+        agreement = _agreement(one[4])
+        if depth < DEPTH and agreement.mean() < ALIKE:
+            yield from _solve(_sorted(_deeper(one)), spanning, percent, depth + 1)
+        elif spanning:
+            yield from _spanning(one, agreement)
+        else:
+            met = _crossing(one, percent)
+            yield one[1][met], one[3][met], one[2][met], one[0][met]
+
+
+def _nodes(spanning: bool, percent: int, held: int | None):
+    """Rows sorted by node -> what _solve finds in nodes of up to `held` members (any, if None), and the rows of larger nodes as they are."""
+
+    def found(cols: list) -> Iterator[pa.RecordBatch]:
+        for a, b, agreed, node in _solve(cols, spanning, percent, 1):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (a, b, agreed, node)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], ["a", "b", "agreed", "node", "n", "sketch"])
+
+    def passed(cols: list) -> pa.RecordBatch:
+        node, rep, n, comp, sketch = cols
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(comp), pa.array(np.full(len(rep), -1)), pa.array(node), pa.array(n), _sketches(sketch)], ["a", "b", "agreed", "node", "n", "sketch"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, passing, lead = None, None, None  # the last node's rows so far; the large node that is being passed on, and its first sketch
-
-        def out(cols, large, last):
-            nonlocal keep, passing, lead
-            node, rep, n, comp, sketch = cols
-            edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[edges, len(node)])
-            per = np.repeat(size, size)
-            big = (per > leaf) if leaf else np.zeros(len(node), bool)
-            first = sketch[np.repeat(edges, size)]
-            if passing is not None:
-                big |= node == passing
-                first[node == passing] = lead
-            agree = np.where(_same(sketch[big], first[big]) >= ALIKE, -2, -1)
-            told = rep[big], comp[big], agree, node[big]
-            if not last and len(node):
-                tail = node == node[-1]
-                if big[-1]:
-                    passing, keep, lead = node[-1], None, first[-1].copy()
-                else:
-                    keep = [x[tail] for x in cols]
-                    big, tail = big & ~tail, ~tail
-                    node, rep, n, comp, sketch, big = node[tail], rep[tail], n[tail], comp[tail], sketch[tail], big[tail]
-            else:
-                keep = None
-            s = ~big
-            l, r, agreed = _compare(node[s], rep[s], n[s], comp[s], sketch[s], spanning, percent)
-            a, b, at = np.minimum(rep[s][l], rep[s][r]), np.maximum(rep[s][l], rep[s][r]), np.zeros(len(l), np.int64)
-            if not spanning:  # members, not pairs: a row for each that has a partner in this node
-                use = np.unique(np.r_[l, r])
-                a, b, agreed, at = rep[s][use], comp[s][use], n[s][use], node[s][use]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y]) for x, y in zip((a, b, agreed, at), told)], ["a", "b", "agreed", "node"])
-
+        keep: list | None = None  # rows of the last node so far
+        passing = None  # the large node whose rows are passed on
         for batch in it:
             if not len(batch):
                 continue
-            cols = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), _matrix(batch.column(4), np.uint8, FUNCTIONS // 2)]
+            cols = _columns(batch)
+            if passing is not None:
+                same = cols[0] == passing
+                if same.any():
+                    yield passed([x[same] for x in cols])
+                cols = [x[~same] for x in cols]
+                if not len(cols[0]):
+                    continue
+                passing = None
             if keep is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(keep, cols)]
-            yield from out(cols, False, False)
+            tail = cols[0] == cols[0][-1]
+            done, keep = [x[~tail] for x in cols], [x[tail] for x in cols]
+            if len(done[0]):  # a node that ended in this batch may be large as well
+                yield from ended(done)
+            if held and len(keep[0]) > held:
+                yield passed(keep)
+                passing, keep = keep[0][0], None
         if keep is not None:
-            yield from out(keep, False, True)
+            yield from found(keep)
+
+    def ended(cols: list) -> Iterator[pa.RecordBatch]:
+        node = cols[0]
+        edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        size = np.diff(np.r_[edges, len(node)])
+        over = np.repeat(size > held, size) if held else np.zeros(len(node), bool)
+        if over.any():
+            yield passed([x[over] for x in cols])
+        yield from found([x[~over] for x in cols])
 
     return run
 
 
 _ROWS = "node long, rep long, n long, comp long, sketch binary"
-_FOUND = "a long, b long, agreed long, node long"
+_FOUND = "a long, b long, agreed long, node long, n long, sketch binary"
 
 
 def search(reps: DataFrame, spanning: bool, percent: int) -> DataFrame:
     """Of representatives (rep, n, comp, sig): with `spanning`, pairs (a, b, agreed) that may be linked, few of each member; else the members (node, rep, comp)
     that may be linked with one of another component in the same node."""
 
-    def level(rows: DataFrame, leaf: int | None) -> DataFrame:
-        return rows.repartition("node").sortWithinPartitions("node", "n", "rep").mapInArrow(_nodes(spanning, percent, leaf), _FOUND)
+    def level(rows: DataFrame, held: int | None) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node", "n", "rep").mapInArrow(_nodes(spanning, percent, held), _FOUND)
 
-    sig = reps.select("rep", "n", "comp", "sig")
-    found, whole, rows = [], [], sig.mapInArrow(_branch(True), _ROWS)
+    found, rows = [], reps.select("rep", "n", "comp", "sig").mapInArrow(_roots, _ROWS)
     for depth in range(DEPTH):
-        now = durable(level(rows, LEAF))
+        now = durable(level(rows, HELD))
         found.append(now.where("agreed >= 0"))
-        large = now.where("agreed < 0").select("node", F.col("a").alias("rep"), "b", "agreed")
-        alike = F.avg(F.when(F.col("agreed") == -2, 1).otherwise(0)) >= 0.9
-        fates = large.groupBy("node").agg((alike | F.lit(depth == DEPTH - 1)).alias("done"), (F.min("b") < F.max("b")).alias("mixed"))
-        fates = durable(fates if spanning else fates.where("mixed"))  # a node of one component has nothing to join, nor have its children
-        have = {r["done"] for r in fates.select("done").distinct().collect()}
-        if True in have:
-            whole.append(large.join(fates.where("done"), "node").select("node", "rep"))
-        if False not in have:
+        large = now.where("agreed < 0").select("node", F.col("a").alias("rep"), "n", F.col("b").alias("comp"), "sketch")
+        if large.isEmpty():
             break
-        rows = sig.join(large.join(fates.where("not done"), "node").select("node", "rep"), "rep").select("rep", "n", "comp", "sig", "node").mapInArrow(_branch(False), _ROWS)
-    if whole:
-        members = sig.join(reduce(DataFrame.union, whole), "rep").select("node", "rep", "n", "comp", "sig")
-        found.append(durable(level(_dealt(members) if spanning else _crossed(members), None)).where("agreed >= 0"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+        rows = large.mapInArrow(_branch, _ROWS)
+    else:
+        found.append(durable(level(_dealt(large) if spanning else _crossed(large), None)).where("agreed >= 0"))
+    out = reduce(DataFrame.union, found)
     if not spanning:
         return out.select("node", F.col("a").alias("rep"), F.col("b").alias("comp")).distinct()
-    return out.select("a", "b", "agreed").groupBy("a", "b").agg(F.max("agreed").alias("agreed"))
+    return out.groupBy("a", "b").agg(F.max("agreed").alias("agreed"))
 
 
 def _dealt(members: DataFrame) -> DataFrame:
     """Members of large nodes, in blocks with the node's two pivots: few pairs, for round one only."""
-    member = F.struct(F.expr("xxhash64(rep)").alias("h"), "rep", "n", "comp", "sig")
-    stats = durable(members.groupBy("node").agg(F.ceil(F.count("*") / LEAF).alias("blocks"), F.min(member).alias("low"), F.max(member).alias("high")))
+    member = F.struct(F.expr("xxhash64(rep)").alias("h"), "rep", "n", "comp", "sketch")
+    stats = durable(members.groupBy("node").agg(F.ceil(F.count("*") / SIDE).alias("blocks"), F.min(member).alias("low"), F.max(member).alias("high")))
     block = "xxhash64(node, cast({} as long))"  # the hash of an int would be another one
     salted = members.join(stats.select("node", "blocks"), "node").withColumn("node", F.expr(block.format("pmod(xxhash64(rep, node), blocks)")))
     spread = stats.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("node", "block", F.explode(F.array("low", "high")).alias("p"))
-    pivots = spread.select(F.expr(block.format("block")).alias("node"), "p.rep", "p.n", "p.comp", "p.sig")
-    return salted.select("node", "rep", "n", "comp", "sig").union(pivots).mapInArrow(_pack, _ROWS)
+    pivots = spread.select(F.expr(block.format("block")).alias("node"), "p.rep", "p.n", "p.comp", "p.sketch")
+    return salted.select("node", "rep", "n", "comp", "sketch").union(pivots)
 
 
 def _crossed(members: DataFrame) -> DataFrame:
@@ -268,19 +360,12 @@ def _crossed(members: DataFrame) -> DataFrame:
     The node's largest component has blocks of its own, which meet those of the other members only; nodes of one component are left out."""
     count = members.groupBy("node", "comp").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
     sides = count.where("`all` > top.k").select("node", F.col("top.comp").alias("main"), F.expr(f"ceil(top.k / {SIDE})").alias("mains"), F.expr(f"ceil((`all` - top.k) / {SIDE})").alias("others"))
-    rows = members.mapInArrow(_pack, _ROWS).join(durable(sides), "node").withColumn("own", F.expr("pmod(xxhash64(rep, node), if(comp = main, mains, others))"))
+    rows = members.join(durable(sides), "node").withColumn("own", F.expr("pmod(xxhash64(rep, node), if(comp = main, mains, others))"))
     outer = "transform(sequence(0L, others - 1), x -> xxhash64(node, 0L, own, x))"
     inner = "concat(transform(sequence(0L, mains - 1), x -> xxhash64(node, 0L, x, own)), transform(sequence(0L, others - 1), x -> xxhash64(node, 1L, least(x, own), greatest(x, own))))"
     return rows.select(F.explode(F.expr(f"if(comp = main, {outer}, {inner})")).alias("node"), "rep", "n", "comp", "sketch")
 
 
-def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        if len(batch):
-            low = (_matrix(batch.column(4), np.uint32, FUNCTIONS) & np.uint32(15)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.tobytes() for x in low[:, ::2] | low[:, 1::2] << 4], pa.binary())], ["node", "rep", "n", "comp", "sketch"])
-
-
 def _wanted(size: int, bits: np.ndarray):
     """The full shingle sets of the texts that the filter lets pass."""
 
@@ -305,16 +390,28 @@ def _bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlap(percent: int):
+    """Rows sorted by hub and kind, a hub's own set first -> the pairs (a, hub) whose sets are similar enough."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
         for batch in it:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+            out: tuple[list, list] = ([], [])
+            for b, a, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if a is None:
+                    hub, held = b, x.copy()
+                    continue
+                if b != hub:
+                    raise RuntimeError("a pair without its hub's set")
+                if 100 * min(len(x), len(held)) < percent * max(len(x), len(held)):
+                    continue
+                both = np.concatenate([x, held])
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+                if 100 * common >= percent * (len(both) - common):
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return run
 
@@ -333,10 +430,15 @@ def _sets(reps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    The set of b, which may be in many pairs, goes once to each of its shares of PAIRS pairs."""
     sets = _sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), texts, size)
-    left = pairs.join(sets.withColumnsRenamed({"rep": "a", "set": "x"}), "a")
-    return durable(left.join(sets.withColumnsRenamed({"rep": "b", "set": "y"}), "b").select("a", "b", "x", "y").mapInArrow(_overlap(percent), "a long, b long"))
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("shares"))
+    hubs = shares.join(sets.withColumnRenamed("rep", "b"), "b").select("b", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), "set")
+    dealt = pairs.join(shares, "b").select("b", F.expr("pmod(xxhash64(a), shares)").alias("share"), F.lit(1).alias("kind"), "a")
+    rows = hubs.union(dealt.join(sets.withColumnRenamed("rep", "a"), "a").select("b", "share", "kind", "a", "set"))
+    return durable(rows.repartition("b", "share").sortWithinPartitions("b", "share", "kind").mapInArrow(_overlap(percent), "a long, b long"))
 
 
 def _links(percent: int):
@@ -352,22 +454,22 @@ def _links(percent: int):
 
         if len(reps) < 2:
             return []
-        out, arrays = [], [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
-        size, own = np.array([len(x) for x in arrays]), np.array(comps)
-        _, column, times = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(reps)), size), times > 1
-        use = shared[column]
-        row, column, width = row[use], (np.cumsum(shared) - 1)[column[use]], int(shared.sum())
+        arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
+        size = np.array([len(x) for x in arrays])
+        names, number = np.unique(comps, return_inverse=True)
+        flat, column = np.unique(np.concatenate(arrays), return_inverse=True)
+        column = column.astype(np.int32)
+        ends = np.r_[0, np.cumsum(size)]
         order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(reps), len(reps)), np.float32)
-        for c in range(0, width, 2048):
-            lo, hi = np.searchsorted(column, [c, c + 2048])
-            has = np.zeros((len(reps), min(2048, width - c)), np.float32)
-            has[row[lo:hi], column[lo:hi] - c] = 1
-            common += has @ has.T
-        for i in range(1, len(reps)):
-            for j in np.flatnonzero(((100 + percent) * common[i, :i].astype(np.int64) >= percent * (size[i] + size[:i])) & (own[:i] != own[i])).tolist():
+        holder = np.repeat(np.arange(len(reps), dtype=np.int32), size)[order]  # postings: who has a shingle
+        first = np.searchsorted(column[order], np.arange(len(flat) + 1))
+        out = []
+        for i in np.flatnonzero(number != np.bincount(number).argmax()).tolist():
+            own = column[ends[i] : ends[i + 1]]
+            lo, k = first[own], first[own + 1] - first[own]
+            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo, k)
+            common = np.bincount(holder[at], minlength=len(reps))
+            for j in np.flatnonzero(((100 + percent) * common >= percent * (size[i] + size)) & (number != number[i])).tolist():
                 if root(comps[i]) != root(comps[j]):
                     out.append((reps[i], reps[j]))
                     top[root(comps[i])] = root(comps[j])
