@@ -10,17 +10,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries kept in a cache of pre-token codes; a full cache is emptied. It bounds memory and does not alter results.
-CACHE = 250_000
+from quillstone.llm.durable import trim
+
+#: Entries of one generation of a cache of pre-token codes, and of the caches of pairs and steps; longer pre-tokens are not kept.
+#: They bound memory (two generations of some 230 bytes an entry) and do not alter results.
+PIECES, PAIRS, LONGEST = 160_000, 200_000, 32
+#: Texts that are Python strings at one time.
+ROWS = 256
 
 
 def _printable() -> dict[str, int]:
@@ -31,16 +36,21 @@ def _printable() -> dict[str, int]:
 
 
 class Cache(dict):
-    """A bounded dict that computes what it lacks."""
+    """A dict that computes what it lacks, bounded by two generations: what is used again outlives the older one."""
 
-    def __init__(self, make, most: int = CACHE):
+    def __init__(self, make, most: int, longest: int | None = None):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+            if self.longest and len(key) > self.longest:
+                return out
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -54,27 +64,31 @@ class Codec:
         vocab = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.text = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in added.items()}
+        self.text: list[bytes] = [b""] * (1 + max([*vocab.values(), *added.values()]))
+        for t, i in [*vocab.items(), *((t.encode(), i) for t, i in added.items())]:
+            self.text[i] = t
+        self.name = [str(i) for i in range(len(self.text))]
         self.added = added
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.pattern = regex.compile(pattern)
         # nodes: 0-255 the bytes, then the merges in order; a node's number is its priority
         self.id = [vocab[bytes([b])] for b in range(256)]
         self.length, node = [1] * 256, {bytes([b]): b for b in range(256)}
-        self.halves: list[tuple[int, int]] = [(b, b) for b in range(256)]
-        self.joined: dict[tuple[int, int], int] = {}
+        self.first, self.second = array("i", range(256)), array("i", range(256))  # the two nodes that a node joins
+        self.joined: dict[int, int] = {}
         for left, right in merges:
             a, b = bytes(byte[c] for c in left), bytes(byte[c] for c in right)
             if a + b in node or a not in node or b not in node:
                 continue
-            self.joined[node[a], node[b]] = node[a + b] = n = len(self.id)
+            self.joined[node[a] << 20 | node[b]] = node[a + b] = len(self.id)
             self.id.append(vocab[a + b])
             self.length.append(len(a) + len(b))
-            self.halves.append((node[a], node[b]))
+            self.first.append(node[a])
+            self.second.append(node[b])
         self._automaton(node)
-        self.fits = Cache(self._fits, CACHE)
-        self.lead = Cache(lambda word: self._piece(" " + word), CACHE)
-        self.bare = Cache(self._piece, CACHE)
+        self.fits = Cache(self._fits, PAIRS)
+        self.lead = Cache(lambda word: self._piece(" " + word), PIECES, LONGEST)
+        self.bare = Cache(self._piece, PIECES // 2, LONGEST)
 
     def _automaton(self, node: dict[bytes, int]) -> None:
         """States are the prefixes of tokens; suffix links give, for each state, the tokens that end there, longest first."""
@@ -101,7 +115,7 @@ class Codec:
                     at = self.link[at]
                 self.link[s] = to or 0
             self.ending[s] = (((own[s], self.length[own[s]]),) if own[s] >= 0 else ()) + self.ending[self.link[s]]
-        self.step = Cache(self._step, CACHE)
+        self.step = Cache(self._step, PAIRS)
 
     def _step(self, key: int) -> int:
         state, b = key >> 8, key & 255
@@ -109,23 +123,23 @@ class Codec:
             state = self.link[state]
         return to
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """Whether merging the two nodes' text, undone step by step from the latest merge, never crosses the border between them."""
-        left, right = pair
+        left, right = pair >> 20, pair & 0xFFFFF
         limit = len(self.id)
         while True:
-            over = self.joined.get((left, right), limit)
+            over = self.joined.get(left << 20 | right, limit)
             if over < limit:  # this merge comes before those that build the two sides
                 return False
             # undo the later of the two merges; on a tie the left side was completed first
             if left > right:
                 if left < 256:
                     return True
-                limit, left = left, self.halves[left][1]
+                limit, left = left, self.second[left]
             else:
                 if right < 256:
                     return True
-                limit, right = right + 1, self.halves[right][0]
+                limit, right = right + 1, self.first[right]
 
     def nodes(self, raw: bytes) -> list[int]:
         """The nodes of the encoding of one pre-token."""
@@ -134,7 +148,7 @@ class Codec:
         for end, b in enumerate(raw, 1):
             state = step[state << 8 | b]
             for node, size in ending[state]:
-                if size == end or fits[last[end - size], node]:
+                if size == end or fits[last[end - size] << 20 | node]:
                     last.append(node)
                     break
         out, at = [], len(raw)
@@ -144,40 +158,35 @@ class Codec:
         out.reverse()
         return out
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        """Of a stretch of text between safe borders: its ids as text, and the bytes that they decode to."""
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a stretch of text between safe borders."""
         word = piece[1:] if piece[0] == " " else piece
         tokens = [piece] if word.isalpha() else self.pattern.findall(piece)
         if len(tokens) > 1:
-            found = [self.bare[t] for t in tokens]
-            return ",".join([a for a, _ in found]), b"".join([b for _, b in found])
-        ids = [self.id[n] for n in self.nodes(piece.encode())]
-        return ",".join(map(str, ids)), self.decode_bytes(ids)
+            return tuple(chain.from_iterable([self.bare[t] for t in tokens]))
+        ids = self.id
+        return tuple([ids[n] for n in self.nodes(piece.encode())])
 
-    def codes(self, text: str) -> list[tuple[str, bytes]]:
+    def codes(self, text: str) -> Iterator[int]:
         """Cuts before single spaces and around single newlines between visible characters, where no pre-token crosses, and codes what
         is between; a text with other white space goes through the pattern as a whole."""
         lines = [line.split(" ") for line in text.split("\n")]
         if list(chain.from_iterable(lines)) != text.split():
-            return list(map(self.bare.__getitem__, self.pattern.findall(text)))
+            return chain.from_iterable(map(self.bare.__getitem__, self.pattern.findall(text)))
         out = []
         for first, *rest in lines:
             out += [self.bare["\n"], self.bare[first], *map(self.lead.__getitem__, rest)]
-        return out[1:]
-
-    def encode_plain(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.codes(text) for i in ids.split(",")]
+        return chain.from_iterable(out[1:])
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text; strings of added tokens become their ids."""
         out: list[int] = []
         for part, special in self.parts(text):
-            out += [self.added[part]] if special else self.encode_plain(part)
+            out += [self.added[part]] if special else self.codes(part)
         return out
 
     def decode_bytes(self, ids) -> bytes:
-        text = self.text
-        return b"".join([text[i] for i in ids])
+        return b"".join(map(self.text.__getitem__, ids))
 
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -193,17 +202,14 @@ class Codec:
             yield text[at:], False
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text; the ids of one stretch at a time are in memory."""
-        found = []
-        for part, special in self.parts(text):
-            found += [(str(i := self.added[part]), self.text[i])] if special else self.codes(part)
-        ids = ",".join([a for a, _ in found])
-        raw = b"".join([b for _, b in found])
+        """Number of ids, SHA-256 of the ids as text, SHA-256 of the text decoded from the ids."""
+        ids = self.encode(text)
+        raw = self.decode_bytes(ids)
         try:
             raw.decode()
         except UnicodeDecodeError:
             raw = raw.decode("utf-8", "replace").encode()
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+        return len(ids), hashlib.sha256(",".join(map(self.name.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -212,6 +218,7 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 def codec(path: str, pattern: str) -> Codec:
     """One codec a Python worker, file and pattern."""
     if (path, pattern) not in _CODECS:
+        trim()
         _CODECS[path, pattern] = Codec(path, pattern)
     return _CODECS[path, pattern]
 
@@ -220,11 +227,11 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
     """Adds `ids` array<int>. Null text counts as empty and gives an empty array; all rows and other columns stay (a column named
     `ids` is replaced)."""
 
-    @F.pandas_udf("array<int>")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
-        for s in it:
-            yield s.map(lambda t: c.encode(t or ""))
+        for texts in it:
+            yield pa.array([c.encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     return df.withColumn(ids, run(F.coalesce(F.col(text), F.lit(""))))
 
@@ -232,11 +239,11 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds `text`, decoded from array<int> `ids` (null: empty); bytes that are no UTF-8 become U+FFFD."""
 
-    @F.pandas_udf("string")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
-        for s in it:
-            yield s.map(lambda x: c.decode(x) if x is not None else "")
+        for lists in it:
+            yield pa.array([c.decode(x or []) for x in lists.to_pylist()], pa.string())
 
     return df.withColumn(text, run(F.col(ids)))
 
@@ -247,9 +254,8 @@ def bpe_digest(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in it:
-            got = [c.digest(t or "") for t in batch.column(1).to_pylist()]
-            n, a, b = zip(*got) if got else ((), (), ())
+        for batch in chain.from_iterable((whole.slice(i, ROWS) for i in range(0, len(whole), ROWS)) for whole in it):
+            n, a, b = zip(*[c.digest(t or "") for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[key].dataType.simpleString()
