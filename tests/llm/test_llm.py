@@ -70,6 +70,45 @@ def test_substrings(spark, docs):
     assert collections.Counter((r["row"].doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
 
 
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 60])
+def test_factors_of_a_block(alphabet):
+    r = np.random.default_rng(alphabet)
+    for _ in range(40):
+        size = r.integers(4, 20, r.integers(1, 12))
+        words = r.integers(0, alphabet, size.sum()).astype(np.uint64)
+        parts = np.split(words, np.cumsum(size)[:-1])
+        left = np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+        every = [tuple(p[i:].tolist()) for p in parts for i in range(len(p))]
+        common = lambda x, y: next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        want = [max((common(x, y) for j, y in enumerate(every) if j != i), default=0) for i, x in enumerate(every)]
+        assert substrings.factor_lengths(words, left).tolist() == want
+        low, high = substrings.parse(words, size, 4)
+        at = 0
+        for p, a, b in zip(parts, low, high):
+            runs = [i for i in range(len(p)) if want[at + i] >= 4]
+            assert (a, b) == ((runs[0], max(i + want[at + i] for i in runs)) if runs else (a, a))
+            at += len(p)
+
+
+def test_equal_keys_do_not_make_equal_stretches(monkeypatch):
+    monkeypatch.setattr(substrings, "mix", lambda h: h * np.uint64(0))  # every key collides
+    words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.uint64)
+    assert substrings._same_words(words, np.array([3, 3, 3])).tolist() == [0, 1, 0]
+
+
+def test_periodic_and_repeated_passages(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = ["x y " * 200, "x y " * 40, passage, "a " + passage + " b", passage[:150] + " and more", "z " * 34, "one " + "z " * 35]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = [t.split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    for r in substrings.substring_dedup(frame).collect():
+        w = words[r["row"].doc_id]
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        assert r.n_removed == len(gone) and r.kept == " ".join(x for j, x in enumerate(w) if j not in gone)
+    assert substrings.substring_dedup(frame.limit(0)).count() == 0
+
+
 def test_near_duplicates(spark, docs):
     from pyspark.sql import functions as F
 
