@@ -16,20 +16,23 @@ from pyspark.sql import functions as F
 from quillstone.llm.bytescan import LOWER, blocks
 
 BUCKETS, DIM, SIZES = 1 << 12, 16, (2, 3, 4)
-#: At most so many documents a label (a mean over hashes of ids), and so many labels, the most frequent ones.
-PER_LABEL, MOST_LABELS = 600, 64
+#: The sample that the classifier is fitted on: at most so many documents a label, and in all (means over hashes of ids).
+PER_LABEL, MOST_ROWS = 600, 20_000
 EPOCHS, RATE, SEED = 12, 4.0, 11
 #: Share of held-back right predictions that may be rejected.
 REJECT = 0.01
 
 
-def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
-    """The bucket of the gram of each size that starts at each byte (over the block; the last ones of a text reach over its end by a byte or more)."""
+def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The bucket of the gram of each size that starts at each byte; a text ends in spaces, so no gram reaches into another one."""
     low = LOWER[data]
     code = np.where((low < 0x61) & (low != 0x27) | (low > 0x7A) & (low < 0x80), np.uint8(0x20), low).astype(np.uint32)
+    end = np.repeat(offsets[1:], np.diff(offsets))
+    at = np.arange(len(code))
     h = np.zeros(len(code), np.uint32)
     for k in range(max(SIZES)):
-        h = (h * np.uint32(0x01000193)) ^ np.r_[code[k:], np.full(min(k, len(code)), 0x20, np.uint32)]
+        ahead = np.where(at + k < end, np.r_[code[k:], np.zeros(min(k, len(code)), np.uint32)], np.uint32(0x20))
+        h = (h * np.uint32(0x01000193)) ^ ahead
         if k + 1 in SIZES:
             yield ((h * np.uint32(0x9E3779B1) + np.uint32(k)) >> np.uint32(20)).astype(np.int64)
 
@@ -38,14 +41,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row for each text: shares of the buckets."""
     n = len(offsets) - 1
     out = np.zeros((n, BUCKETS), np.float32)
-    grams = list(_grams(data))
-    for d in range(n):
-        lo, hi = offsets[d], offsets[d + 1]
-        if hi > lo:
-            for g in grams:
-                out[d] += np.bincount(g[lo:hi], minlength=BUCKETS)
-            out[d] /= len(grams) * (hi - lo)
-    return out
+    for g in _grams(data, offsets):
+        for d in np.flatnonzero(np.diff(offsets)):
+            out[d] += np.bincount(g[offsets[d] : offsets[d + 1]], minlength=BUCKETS)
+    return out / np.maximum(len(SIZES) * np.diff(offsets), 1)[:, None].astype(np.float32)
 
 
 class Model:
@@ -90,7 +89,7 @@ class Model:
         total = np.zeros((n, len(self.labels)), np.float64)
         some = np.flatnonzero(np.diff(offsets))
         if len(some):
-            for g in _grams(data):
+            for g in _grams(data, offsets):
                 for k in range(len(self.labels)):
                     total[some, k] += np.add.reduceat(self.scores[:, k][g], offsets[some], dtype=np.float64)
             total[some] /= len(SIZES) * np.diff(offsets)[some, None]
@@ -102,12 +101,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(labelled: DataFrame, per_label: int = PER_LABEL, most_labels: int = MOST_LABELS) -> Model | None:
+def train(labelled: DataFrame, per_label: int = PER_LABEL, most_rows: int = MOST_ROWS) -> Model | None:
     """labelled: k, t (not null), lang (not null). None if there is nothing to learn from."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
-    labels = sorted(counts)
+    labels = sorted(counts)  # a row for each language
+    per_label = min(per_label, most_rows / len(labels))
     place = F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map([x for k in labels for x in (F.lit(k), F.lit(min(1.0, per_label / counts[k])))])
 

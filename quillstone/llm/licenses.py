@@ -131,7 +131,7 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", phrase
                 out = []
                 for d in range(b - a):
                     lo, hi = words.first[d], words.first[d + 1]
-                    if edges[d + 1] - edges[d] < 2:
+                    if edges[d + 1] == edges[d]:
                         out.append((0, None, None, "", "", 0.0, []))
                         continue
                     scores, places, first, last, base = _match(index, idf, h[lo:hi], known[lo:hi], at[edges[d] : edges[d + 1]] - lo)

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling (operator 6).
 
 Built-in expressions only.  A document's expected copies are its source's target over its source's size.  Whole copies are certain; for the rest,
-documents are ranked by random odds over inclusion odds and taken in that order until the target is met.  A source may hold any share of
-the rows: its order is cut into bins of rank, sums of bins give the bin in which the target is met, and only the rows of that bin are
-ordered one by one.
+a document's inclusion odds grow with its length (up to twice), times a factor for each source that makes the expected words of the random part
+just what is left to take.  Documents are ranked by random odds over inclusion odds and taken in that order until the target is met.  A
+source may hold any share of the rows: its order is cut into bins of rank, as many as its documents ask for, sums of bins give the bin in
+which the target is met, and only the rows of that bin are ordered one by one.  What is held in one row is a few numbers for each source.
 """
 
 from __future__ import annotations
@@ -14,6 +15,23 @@ from pyspark.sql import functions as F
 from quillstone.llm.durable import durable
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
+#: Classes of length, with one inclusion probability each; documents of a bin of rank, about.
+CLASSES, IN_BIN = 64, 1024
+
+
+def odds_factor(classes, rest):
+    """The factor c for which the sum over classes (g, w) of w c g / (1 + c g) is `rest`, by bisection of its logarithm.
+
+    classes: an array of structs g (relative odds), w (words); the sum grows with c from 0 to all words."""
+    taken = lambda c: F.aggregate(classes, F.lit(0.0), lambda a, x: a + x["w"] * (c * x["g"]) / (1 + c * x["g"]))
+
+    def halve(a, _):
+        mid = (a["low"] + a["high"]) / 2
+        less = taken(F.exp(mid)) < rest
+        return F.struct(F.when(less, mid).otherwise(a["low"]).alias("low"), F.when(less, a["high"]).otherwise(mid).alias("high"))
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(F.lit(-40.0).alias("low"), F.lit(40.0).alias("high")), halve)
+    return F.exp((ends["low"] + ends["high"]) / 2)
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -46,24 +64,27 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return got.select("x.source", F.col("x.size").alias("source_size"), F.least(F.col("level") * F.col("x.weight"), F.lit(most) * F.col("x.size")).alias("target"))
 
 
-def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, bins: int = 256, seed: int = 7) -> DataFrame:
+def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, in_bin: int = IN_BIN, seed: int = 7) -> DataFrame:
     """All rows of df by key: `k` (df's key), h (a hash of key and text), size (words), source_size, target, copies.
 
     Null text has size 0; null is a source of its own, last in order.  Rows that repeat get the same copies each as the order falls, and count each.
     Rows of size 0 get no copy of the random part.  An empty table gives an empty result."""
     col = lambda c: F.col(f"`{c}`")
     docs = df.select(col(key).alias("k"), col(source).cast("string").alias("source"), F.xxhash64(col(key), col(text)).alias("h"), F.coalesce(F.regexp_count(col(text).cast("string"), F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long").alias("size"))
-    docs = durable(docs)
-    plan = durable(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    docs = durable(docs.withColumn("class", F.floor(CLASSES * F.col("size") / (F.col("size") + 200.0)).cast("int")))
+    g = 1 + F.col("class") / float(CLASSES)
+    lengths = docs.groupBy("source", "class").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+    sizes = lengths.groupBy("source").agg(F.sum("w").alias("source_size"), F.sum("n").alias("n"), F.collect_list(F.struct(g.alias("g"), F.col("w").cast("double").alias("w"))).alias("classes"))
+    plan = targets(sizes.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    given = docs.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # inclusion odds: those of the source, up to twice as large for documents of many words
+    plan = plan.join(sizes.drop("source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    plan = durable(plan.withColumn("factor", odds_factor(F.col("classes"), F.col("rest"))).withColumn("bins", F.greatest(F.lit(256), F.ceil(F.col("n") / in_bin))).drop("classes", "n"))
+    given = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     u = (F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    odds = F.col("part") / (1 - F.col("part")) * (1 + F.col("size") / (F.col("size") + 200.0))
-    given = given.withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), u / (1 - u) / odds))
-    # bins follow the rank's share of (0, 1); a source's sums of them are a table of `bins` rows
-    given = given.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins).cast("int"))
+    given = given.withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), u / (1 - u) / (F.col("factor") * g)))
+    # bins follow the rank's share of (0, 1); a source's sums of them are a small table
+    given = given.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("bins")).cast("long"))
     sums = given.where("rank is not null").groupBy("source", "bin", "rest").agg(F.sum("size").alias("in_bin"))
     before = F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     met = sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before < rest and before + in_bin >= rest").select(F.col("source").alias("s"), F.col("bin").alias("at"), "before")

@@ -187,11 +187,60 @@ def test_hot_templated_source(spark):
     assert sum(got[i] == got[i + 1] for i in range(0, 1200, 2)) == linked and got == want
 
 
+def _targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Targets by giving out shares again until none is above its limit."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped = share * sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        left = total - sum(most * sizes[s] for s in capped)
+        got = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if got[s] > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] for s in capped} | got
+        capped |= over
+
+
 def test_mix(spark, docs):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.copies <= 2 for r in got)
     assert sorted((r.k or -1, r.copies) for r in got) == sorted((r.k or -1, r.copies) for r in mixing.mix_sources(docs).collect())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    want = _targets(sizes)
+    own = {r.doc_id: r.source for r in docs.collect()}
+    for r in got:
+        if r.k is not None:
+            assert r.source_size == sizes[own[r.k]] and abs(r.target - want[own[r.k]]) < 1e-6 * want[own[r.k]]
+
+
+def test_taken_words_come_near_their_targets(spark):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(0, 400), f"s{i % 5}" if i % 11 else None) for i in range(6000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), in_bin=16).collect()
+    want, taken, size = collections.Counter(), collections.Counter(), {}
+    for x in got:
+        key = rows[x.k][2]
+        taken[key] += x.size * x.copies
+        want[key], size[key] = x.target, x.source_size
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    assert all(abs(want[k] - v) < 1e-6 * v for k, v in _targets(sizes).items()) and size == dict(sizes)
+    assert all(abs(taken[k] - want[k]) <= 401 for k in want)
+
+
+def test_inclusion_probabilities_add_up_to_the_words_to_take(spark):
+    from pyspark.sql import functions as F
+
+    classes = [(1 + c / 64, 50.0 * (c + 1)) for c in range(64)]
+    for rest in (1.0, 20_000.0, 103_000.0):
+        frame = spark.createDataFrame([(classes, rest)], "classes array<struct<g double, w double>>, rest double")
+        c = frame.select(mixing.odds_factor(F.col("classes"), F.col("rest"))).first()[0]
+        assert abs(sum(w * c * g / (1 + c * g) for g, w in classes) - rest) < 1e-6 * rest
 
 
 def test_quality(spark, docs):
@@ -212,6 +261,19 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang_pred == r.lang for r in rows) > 0.97 * len(rows)
 
 
+def test_language_does_not_read_the_next_text():
+    r = np.random.default_rng(1)
+    x = r.random((8, language.BUCKETS)).astype(np.float32)
+    model = language.Model(x / x.sum(1, keepdims=True), np.arange(8) % 2, ["a", "b"])
+    for texts in (["le chat", "zzzz"], ["le chat", "qqqq", ""], ["le chat"]):
+        raw = "".join(texts).encode()
+        offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+        data = np.frombuffer(raw, np.uint8)
+        alone = np.frombuffer(b"le chat", np.uint8), np.array([0, 7])
+        assert (language.features(data, offsets)[0] == language.features(*alone)[0]).all()
+        assert (model.predict(data, offsets)[0] == model.predict(*alone)[0]).all()
+
+
 def test_language_without_letters(spark, docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, None).collect()}
     assert set(got.values()) == {("und", 0.0)}
