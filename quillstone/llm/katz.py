@@ -1,12 +1,15 @@
 """Language-model scoring by Katz backoff (operator 9): bigrams over unigrams, Good-Turing discounts, exactly normalised backoff weights.
 
 P(w | p) = d(c) c / c(p) for a bigram seen c times, else alpha(p) P(w); P(w) = d(c) c / N for a word seen c times, else the mass that the
-discounts leave.  alpha(p) = (1 - sum of the seen) / (1 - sum of P over the words seen after p).
+discounts leave, which is the one unknown word's.  alpha(p) = (1 - sum of the seen) / (1 - sum of P over the words seen after p), so the
+probabilities after every context, and of all words, add up to 1.  Counts up to K have Good-Turing discounts; larger ones give up SPARE of their
+mass, so that no context is without any.
 
 Nothing of the model is broadcast but the words so frequent that they are few.  Training counts, discounts and scores are found where the
-n-grams are: a table partitioned by word holds the bigrams of all blocks of documents (counts, and the occurrences to score), a second one, partitioned by
-the word before, holds what backoff needs.  Sums go back to the blocks' documents; terms that depend on the discounts of all bigrams are counted
-by class and weighed at the end.
+n-grams are: a table partitioned by word holds the bigrams of all blocks of documents (counts, and the occurrences to score), a second one,
+partitioned by the word before, holds the backoff weights.  A row is one slice's share of a block, in packed columns; the number of slices follows the
+number of tokens.  A token is evaluated where its bigram is, and where that is unseen goes on to the table of weights.  Sums go back to the blocks'
+documents; terms that depend on the discounts of all bigrams are counted by class and weighed at the end.
 """
 
 from __future__ import annotations
@@ -18,22 +21,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.llm.bytescan import blocks, NOT_SPACE, Words, mix
 from quillstone.llm.durable import durable, release
 
 #: Counts up to here are discounted.
 K = 5
+#: Share of its mass that a bigram of a larger count gives up.
+SPARE = 1e-3
+#: Tokens of a slice, about, and documents of a block at most.
+IN_SLICE, DOCUMENTS = 400_000, 16_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BLOCK = 1 << 21
-#: Words before are known by 48 bits of their hash.
-SHORT = np.uint64((1 << 48) - 1)
 _ROW = "slice int, kind int, block long, a binary, b binary, c binary, d binary"
 
 
 def _tokens(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks of a batch: first and last row, tokens (words, and one end for each text), text of each token."""
-    for a, b, data, offsets in blocks(batch.column(1), most):
+    for a, b, data, offsets in ((lo + a, lo + b, *x) for lo in range(0, len(batch), DOCUMENTS) for a, b, *x in blocks(batch.column(1).slice(lo, DOCUMENTS), most)):
         words = Words(data, offsets, NOT_SPACE, True)
         n = b - a
         at = words.first[1:] + np.arange(n)  # of the ends
@@ -90,7 +96,6 @@ def _bigrams(slices: int, hot: np.ndarray):
                 count += 1
                 before = np.r_[START, tok[:-1]]
                 before[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] = START
-                before &= SHORT
                 by = np.where(np.isin(tok, hot), mix(tok ^ before), tok) if len(hot) else tok
                 cut = (by % np.uint64(slices)).astype(np.int32)
                 order = np.lexsort((before, tok, cut))
@@ -101,7 +106,7 @@ def _bigrams(slices: int, hot: np.ndarray):
                 train = ~held[a:b]
                 for s, w, p, d in zip(used, pack(tok), pack(before), pack(doc)):
                     new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])])
-                    rows.append((int(s), 0, block, w[new].tobytes(), _short(p[new]), np.diff(np.r_[new, len(w)]).astype(np.int32).tobytes(), np.r_[b - a, (d.astype(np.int32) << 1 | train[d])].astype(np.int32).tobytes()))
+                    rows.append((int(s), 0, block, w[new].tobytes(), p[new].tobytes(), np.diff(np.r_[new, len(w)]).astype(np.int32).tobytes(), np.r_[b - a, (d << 1 | train[d])].astype(np.uint16).tobytes()))
                 ids = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.bincount(doc, minlength=b - a))], ["k", "held", "n"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, ids.schema) as w:
@@ -117,17 +122,6 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slice", "kind", "block", "a", "b", "c", "d"])
 
 
-def _short(x: np.ndarray) -> bytes:
-    """48-bit numbers as 6 bytes each."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inverse = np.unique(x, return_inverse=True)
     return u, inverse
@@ -142,8 +136,8 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
         rows = [r for r in rows if r["kind"] == 0]
         if rows:
             w, size = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in (("a", np.uint64), ("c", np.int32)))
-            p = np.concatenate([_long(r["b"]) for r in rows])
-            docs = [np.frombuffer(r["d"], np.int32) for r in rows]
+            p = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
+            docs = [np.frombuffer(r["d"], np.uint16).astype(np.int32) for r in rows]
             rows = [{"block": r["block"]} for r in rows]
             base = np.r_[0, np.cumsum([d[0] for d in docs])].astype(np.int32)
             flag = np.concatenate([d[1:] for d in docs])
@@ -162,7 +156,7 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
             c1, r = own[word][entry], big[which][entry]
             score = np.where(r > 0, np.log10(np.maximum(r, 1)), np.log10(chance)[word][entry]) - np.where((w[entry] != END) & (c1 > 0), np.log10(np.maximum(c1, 1)), 0)
             n = int(base[-1])
-            sums = [np.bincount(owner, weights=x, minlength=n) for x in (c1 > 0, np.log10(c1 + 1), score, *[r == k for k in range(1, K + 1)])]
+            sums = [np.bincount(owner, weights=x, minlength=n) for x in (c1 > 0, np.log10(c1 + 1), score, *[r == k for k in range(1, K + 1)], r > K)]
             for i, row in enumerate(rows):
                 s = slice(base[i], base[i + 1])
                 out.append((0, 0, row["block"], np.stack([sums[0][s], *[x[s] for x in sums[3:]]]).astype(np.int32).tobytes(), sums[1][s].tobytes(), sums[2][s].tobytes(), b""))
@@ -176,7 +170,7 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
             part = (befores % np.uint64(slices)).astype(np.int32)
             for s in np.unique(part):
                 m = part == s
-                out.append((int(s), 1, 0, _short(befores[m]), share[0][m].tobytes(), np.stack([x[m] for x in share[1:]]).astype(np.int64).astype(np.int32).tobytes(), b""))
+                out.append((int(s), 1, 0, befores[m].tobytes(), share[0][m].tobytes(), np.stack([x[m] for x in share[1:]]).astype(np.int64).astype(np.int32).tobytes(), b""))
             miss = np.flatnonzero(r == 0)
             if len(miss):
                 source = np.searchsorted(base, owner[miss], "right") - 1
@@ -184,7 +178,7 @@ def _count(slices: int, unigram: Unigram, hot: dict[int, int]):
                 part = (p[entry[miss]] % np.uint64(slices)).astype(np.int32)
                 for s in np.unique(part):
                     m = part == s
-                    out.append((int(s), 2, 0, _short(p[entry[miss]][m]), ids[source[m]].tobytes(), (owner[miss][m] - base[source[m]]).astype(np.int32).tobytes(), b""))
+                    out.append((int(s), 2, 0, p[entry[miss]][m].tobytes(), ids[source[m]].tobytes(), (owner[miss][m] - base[source[m]]).astype(np.int32).tobytes(), b""))
             out.append((0, 3, 0, np.bincount(np.minimum(big, K + 2), minlength=K + 3).astype(np.int64).tobytes(), b"", b"", b""))
         return pa.Table.from_batches([_batch(out)]) if out else pa.Table.from_batches([_batch([(0, 9, 0, b"", b"", b"", b"")])])
 
@@ -200,15 +194,15 @@ def _backoff(d: np.ndarray):
         out = []
         if miss:
             get = lambda rs, k, t: np.concatenate([np.zeros(0, t), *[np.frombuffer(r[k], t) for r in rs]])
-            words, at = _groups(np.concatenate([np.zeros(0, np.uint64), *[_long(r["a"]) for r in part]]))
+            words, at = _groups(get(part, "a", np.uint64))
             q = np.bincount(at, weights=get(part, "b", np.float64), minlength=len(words))
             classes = np.concatenate([np.zeros((K + 1, 0), np.int32), *[np.frombuffer(r["c"], np.int32).reshape(K + 1, -1) for r in part]], 1)
             n = np.stack([np.bincount(at, weights=x, minlength=len(words)) for x in classes])
             r = np.arange(1, K + 1)
             total = (n[:K] * r[:, None]).sum(0) + n[K]
-            kept = (n[:K] * (r * d[1:])[:, None]).sum(0) + n[K]
+            kept = (n[:K] * (r * d[1:])[:, None]).sum(0) + (1 - SPARE) * n[K]
             alpha = alpha_of(total, kept, q)
-            before = np.concatenate([_long(r["a"]) for r in miss])
+            before = get(miss, "a", np.uint64)
             i = np.minimum(np.searchsorted(words, before), max(0, len(words) - 1))
             known = words[i] == before if len(words) else np.zeros(len(before), bool)
             gain = np.where(known, np.log10(alpha[i]) + np.log10(total[i]), 0.0) if len(words) else np.zeros(len(before))
@@ -224,9 +218,8 @@ def _backoff(d: np.ndarray):
 
 
 def alpha_of(total: np.ndarray, kept: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Backoff weights from context counts, discounted counts and the lower order's sum over seen words. Where no mass is left, a small one is taken."""
-    left = np.maximum(1 - kept / np.maximum(total, 1), 1e-6)
-    return left / np.maximum(1 - q, 1e-12)
+    """Backoff weights from context counts, discounted counts (less than the counts) and the lower order's sum over seen words (less than 1)."""
+    return (total - kept) / np.maximum(total, 1) / (1 - q)
 
 
 def _finish(schema: pa.Schema, d: np.ndarray, total: int, kinds: int, texts: int):
@@ -239,16 +232,16 @@ def _finish(schema: pa.Schema, d: np.ndarray, total: int, kinds: int, texts: int
             return schema.empty_table()
         got = pa.ipc.open_stream(ids[0]["a"]).read_all()
         n = len(got)
-        counts, base, score = np.zeros((K + 1, n)), np.zeros(n), np.zeros(n)
+        counts, base, score = np.zeros((K + 2, n)), np.zeros(n), np.zeros(n)
         for r in rows:
             if r["kind"] == 0:
-                counts += np.frombuffer(r["a"], np.int32).reshape(K + 1, n)
+                counts += np.frombuffer(r["a"], np.int32).reshape(K + 2, n)
                 base += np.frombuffer(r["b"])
                 score += np.frombuffer(r["c"])
             elif r["kind"] == 5:
                 np.add.at(score, np.frombuffer(r["a"], np.int32), np.frombuffer(r["b"]))
         tokens = got.column("n").to_numpy()
-        score += np.log10(d[1:]) @ counts[1:] - (np.log10(texts) if texts else 0)
+        score += np.log10(np.r_[d[1:], 1 - SPARE]) @ counts[1:] - (np.log10(texts) if texts else 0)
         cols = [got.column("k"), got.column("held"), pa.array(tokens), pa.array(counts[0].astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base - tokens * np.log10(total + kinds + 1)), pa.array(score)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -263,10 +256,11 @@ def score_texts(df: DataFrame, held: str, text: str = "text", key: str = "doc_id
     the same partitions if a task is repeated."""
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"), F.coalesce(F.expr(held), F.lit(True)).alias("held"))
-    slices = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // 12)
     words = durable(rows.mapInArrow(_unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     stats = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.count_if(F.col("c") == r) for r in range(1, K + 2)], F.coalesce(F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c"))), F.lit(0))).first()
     total, kinds, texts = stats[0], stats[1], stats[-1]
+    tokens = rows.agg(F.coalesce(F.sum(F.coalesce(F.regexp_count("t", F.lit("[^ \\t-\\r]+")), F.lit(0)) + 1), F.lit(0))).first()[0] if total == 0 else None
+    slices = max(64, -(-(tokens or total) // IN_SLICE))
     unigram = Unigram(total, [0, *stats[2:-1]])
     # words of more than a quarter of a slice: fewer than 4 * slices of them; their bigrams are dealt out by both words
     hot = {int(np.int64(r["w"]).view(np.uint64)): r["c"] for r in words.where(F.col("c") > max(1, total // (4 * slices))).collect()}
@@ -279,10 +273,8 @@ def score_texts(df: DataFrame, held: str, text: str = "text", key: str = "doc_id
     n = sum((np.frombuffer(r["a"], np.int64) for r in counted.where("kind = 3").select("a").collect()), np.zeros(K + 3, np.int64))
     d = discounts([0, *n[1 : K + 2].tolist()])
     unseen = counted.where("kind in (1, 2)").groupBy("slice").applyInArrow(_backoff(d), _ROW)
-    out = pa.schema([("k", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    out = pa.schema([("k", to_arrow_type(df.schema[key].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     kind = df.schema[key].dataType.simpleString()
-    if kind != "bigint":
-        out = out.set(0, pa.field("k", pa.string() if kind == "string" else pa.int32()))
     final = counted.where("kind in (0, 4)").union(unseen.where("kind = 5")).groupBy("block").applyInArrow(_finish(out, d, total, kinds, texts), f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return final.withColumnRenamed("k", key)
 

@@ -304,13 +304,64 @@ def test_urls(spark):
     assert got[3] == got[4] == ("", "", None, "block") and [got[i][2] for i in (5, 6, 7)] == [None] * 3 and got[8][2] == "net/de/"
 
 
-def test_katz_is_normalised_and_takes_odd_rows(spark, docs):
-    d = katz.discounts([0, 10, 4, 3, 2, 1, 1])
-    assert all(0 < x <= 1 for x in d)
-    total, kept, q = np.array([10.0]), np.array([7.0]), np.array([0.4])
-    assert abs(kept / total + katz.alpha_of(total, kept, q) * (1 - q) - 1)[0] < 1e-12
+def _katz(rows, held):
+    """Scores by one table of words and one of bigrams, and the sum of the probabilities after each context."""
+    import math
+
+    tokens = [[w.lower() for w in WORD.findall(t or "")] + ["</s>"] for _, t in rows]
+    train = [x for x, h in zip(tokens, held) if not h]
+    one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for x in train:
+        one.update(x)
+        two.update(zip(["<s>", *x], x))
+        before.update(["<s>", *x[:-1]])
+    total = sum(one.values())
+    n = lambda c: [sum(v == r for v in c.values()) for r in range(katz.K + 2)]
+    uni, d = katz.Unigram(total, n(one)), katz.discounts(n(two))
+    p1 = lambda w: float(uni(np.array([one[w]]))[0])
+    cut = lambda c: c * (d[c] if c <= katz.K else 1 - katz.SPARE)
+    after = collections.defaultdict(list)
+    for (p, w), c in two.items():
+        after[p].append(w)
+    alpha = {p: (1 - sum(cut(two[p, w]) for w in ws) / before[p]) / (1 - sum(p1(w) for w in ws)) for p, ws in after.items()}
+
+    def prob(p, w):
+        if two[p, w]:
+            return cut(two[p, w]) / before[p]
+        return alpha.get(p, 1.0) * p1(w)
+
+    scores = [sum(math.log10(prob(p, w)) for p, w in zip(["<s>", *x], x)) for x in tokens]
+    base = [sum(math.log10((one[w] + 1) / (total + len(one) + 1)) for w in x) for x in tokens]
+    sums = [sum(prob(p, w) for w in [*one, "an unknown word"]) for p in after]
+    return total, [(len(x), sum(one[w] > 0 for w in x)) for x in tokens], base, scores, sums
+
+
+@pytest.mark.parametrize("key", ["long", "string", "decimal(20,0)"])
+def test_katz_against_one_table(spark, texts, key):
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = list(enumerate(texts + [" ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 60))) for _ in range(120)]))
+    frame = spark.createDataFrame(rows + [(3, rows[3][1])], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(key)).withColumn("k", F.lit("clash"))
+    rows.append(rows[3])
+    import zlib
+
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    total, counts, base, scores, sums = _katz(rows, held)
+    assert all(abs(x - 1) < 1e-9 for x in sums)
+    got = katz.score_texts(frame, "crc32(cast(doc_id as string)) % 7 = 2").collect()
+    want = sorted((i, h, a, b, total) for (i, _), h, (a, b) in zip(rows, held, counts))
+    assert sorted((int(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens) for x in got) == want
+    for i, s, t in zip([i for i, _ in rows], base, scores):
+        mine = [x for x in got if int(x.doc_id) == i]
+        assert all(abs(x.base_score - s) < 1e-6 and abs(x.score - t) < 1e-6 for x in mine)
+
+
+def test_katz_takes_odd_rows(spark, docs):
     got = katz.score_texts(docs, "crc32(cast(doc_id as string)) % 7 = 2").collect()
     assert len(got) == docs.count() and all(r.score <= 0 and r.n_tokens >= 1 for r in got)
+    assert katz.score_texts(docs.limit(0), "true").count() == 0
+    assert {(r.score, r.n_known, r.train_tokens) for r in katz.score_texts(docs, "true").collect()} == {(0.0, 0, 0)}
 
 
 def test_top_k(spark):
