@@ -28,12 +28,18 @@ class Index:
 
 def build(df: DataFrame, key: str, text: str, stem: bool = False) -> Index:
     postings = analyze(df, key, text, stem).groupBy(F.col(key).alias("unit"), "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    dictionary = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     weight = 1 + F.log10("tf")
     sums = postings.groupBy("unit").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(weight * weight)).alias("lnc"), F.max("tf").alias("max_tf"), F.count("*").alias("n_distinct"))
     units = df.select(F.col(key).alias("unit")).join(sums, "unit", "left").select("unit", F.coalesce("len", F.lit(0)).alias("len"), F.coalesce("lnc", F.lit(1e-6)).alias("lnc"), F.coalesce("max_tf", F.lit(0)).alias("max_tf"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
-    stats = units.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.sum("len").alias("total"))
-    return Index(postings, dictionary, units, stats)
+    return Index(postings, dictionary_of(postings), units, stats_of(units))
+
+
+def dictionary_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def stats_of(units: DataFrame) -> DataFrame:
+    return units.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.sum("len").alias("total"))
 
 
 def bm25_idf(df, n):

@@ -49,9 +49,12 @@ def test_words_and_sentences(spark):
 
 
 def test_boolean_grammar():
-    assert boolean.parse("a ) b") == boolean.parse("a")
-    assert boolean.parse("()") == ("AND", [("AND", [], [])], [])
-    assert boolean.parse("NOT x") == ("AND", [], [("TERM", "x")])
+    word = lambda *w: boolean.Group([boolean.Alternative([boolean.Word(x) for x in w])])
+    assert boolean.parse("a ) b") == boolean.parse("a") == boolean.parse('a ""') == word("a")
+    assert boolean.parse("()").alternatives[0].wanted == [boolean.Group()]
+    assert boolean.parse("NOT x") == boolean.Group([boolean.Alternative([], [boolean.Word("x")])])
+    assert boolean.parse("a b OR (c") == boolean.Group([word("a", "b").alternatives[0], boolean.Alternative([word("c")])])
+    assert boolean.parse('a AND NOT "x y"').alternatives[0].unwanted == [boolean.Phrase("x y")]
     with pytest.raises(ValueError):
         boolean.parse("a NOT")
 
