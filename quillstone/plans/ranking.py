@@ -258,9 +258,9 @@ def p8(s, d):
     return _corrected(p6(s, d).join(_body(s, d).dictionary.select(F.col("term").alias("word"), "cf"), "word"))
 
 
-@query("V11_verify_by_retrieval", f"""SELECT f.qid, f.unit, f.score FROM (SELECT *, {_RANK.format('score')} AS r FROM (SELECT qid, unit, round(0.3 * {_MM.format('sparse')} + 0.7 * {_MM.format('dense')}, 6) AS score FROM pl WINDOW p AS (PARTITION BY qid))) f JOIN docs ON doc_id = f.unit
+@query("V11_verify_by_retrieval", f"""SELECT f.qid, f.unit, f.score FROM (SELECT *, {_RANK.format('score')} AS r FROM (SELECT qid, unit, round(0.3 * {_MM.format('sparse')} + 0.7 * {_MM.format('dense')}, 6) AS score FROM (SELECT * FROM (SELECT *, {_RANK.format('sparse')} AS rs, {_RANK.format('dense')} AS rd FROM pl) WHERE rs <= 100 AND sparse > 0 OR rd <= 100) WINDOW p AS (PARTITION BY qid))) f JOIN docs ON doc_id = f.unit
     ANTI JOIN (SELECT c.qid, body FROM ({_TOP.format('bm', 2)}) c JOIN docs ON doc_id = c.unit) t ON t.qid = f.qid AND t.body = docs.body WHERE f.r <= 5""")
 def v11(s, d):
     text = corpus.docs(s, d).select(F.col("doc_id").alias("unit"), F.sha2("body", 256).alias("key"))
     known = lexical.top(_bm(s, d), 2).join(text, "unit").select("qid", "key")
-    return lexical.top(fusion.convex(_pool(s, d), 0.3), 5).join(text, "unit").join(known, ["qid", "key"], "left_anti").select("qid", "unit", "score")
+    return lexical.top(fusion.convex(fusion.pool(_bm(s, d), _cos(s, d), 100), 0.3), 5).join(text, "unit").join(known, ["qid", "key"], "left_anti").select("qid", "unit", "score")

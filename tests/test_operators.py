@@ -1,10 +1,13 @@
+import math
+import statistics
+
 import duckdb
 import pytest
 
 from quillstone.functions import text as T
 from quillstone.operators import boolean
 from quillstone.plans import queries as plans
-from quillstone.plans import ranking  # noqa: F401
+from quillstone.plans import audit, ranking  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "labels"):
+    for t in ("documents", "benchmark", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -22,7 +25,7 @@ def rows(names, data):
     return sorted([tuple(round(float(r[n]), 5) if isinstance(r[n], float) else str(r[n]) for n in names) for r in data], key=str)
 
 
-@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token"])
+@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
 def test_against_oracle(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
     names = sorted(got.columns)
@@ -91,3 +94,72 @@ def test_index_and_json_round_trip(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out").count() == 2
     (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\n1\ta\t1\n1\tb\t0\n")
     assert [tuple(r) for r in store.read_qrels(spark, f"{tmp_path}/q.tsv").collect()] == [("1", "a", 1)]
+
+
+def test_claims_of_an_answer(spark):
+    from quillstone.functions import claims
+
+    cases = {
+        "It rises by two. [1] The sources do not mention it at all. [2, 3] Source 1 states that cells grow fast in mice [1].": [("It rises by two.", False, [1]), ("The sources do not mention it at all.", True, [2, 3]), ("Cells grow fast in mice.", False, [1])],
+        "[1] Cells grow fast here. [2; 3] Mice are small animals.": [("Cells grow fast here.", False, [1]), ("Mice are small animals.", False, [2, 3])],
+        "Yes. [4] Cells grow in mice today.": [("Cells grow in mice today.", False, [4])],
+        "": [],
+        None: [],
+    }
+    rows = spark.createDataFrame([(a,) for a in cases], "a string").select("a", claims.split_claims(F.col("a")).alias("c")).collect()
+    assert {r.a: [(c.text, c.meta, c.cites) for c in r.c] for r in rows} == cases
+
+
+def test_altered_claims(spark):
+    from quillstone.functions import corruption as X
+
+    cases = {
+        "Drug A does not reduce pain": ("Drug A reduces pain", "Drug A does not increase pain", False),
+        "Drug is useful": ("Drug is not useful", None, False),
+        "Aspirin reduces pain in 1998 by 12.5 percent": ("Aspirin does not reduce pain in 1998 by 12.5 percent", "Aspirin increases pain in 1998 by 12.5 percent", True),
+        "reduces pain": (None, "increases pain", False),
+        "It cannot do this": ("It can do this", None, False),
+        "Higher dose of 1 mg": (None, "Lower dose of 1 mg", True),
+        "": (None, None, False),
+        None: (None, None, False),
+    }
+    c = F.col("c")
+    for r in spark.createDataFrame([(x,) for x in cases], "c string").select("c", X.negate(c).alias("n"), X.flip_direction(c).alias("f"), X.swap_number(c).alias("s")).collect():
+        assert (r.n, r.f) == cases[r.c][:2] and (r.s is not None) == cases[r.c][2] and (r.s is None or r.s != r.c)
+        assert r.s is None or "1998" not in r.c or "1998" in r.s
+    assert all(r.t != r.w for r in spark.createDataFrame([("water",), ("aabb",)], "w string").select("w", X.typo(F.col("w")).alias("t")).collect())
+
+
+def test_cluster_pruning_finds_nine_of_ten(spark):
+    from quillstone.plans import audit
+
+    assert audit.m13b(spark, "/root/testdata/sf0.01").first().recall >= 0.9
+
+
+def test_filter_without_units(spark):
+    with pytest.raises(ValueError):
+        boolean.filtered(plans._bm(spark, SF), "nosuchword", plans._body(spark, SF), plans._title(spark, SF))
+
+
+def test_statistics(spark):
+    from quillstone.operators import experiments
+
+    a, b = [1.0, 2.0, 3.0, 4.0, 6.0], [1.5, 1.0, 2.0, 3.5, 4.0]
+    frame = lambda v: spark.createDataFrame(list(enumerate(v)), "qid int, value double")
+    got = experiments.paired_t(frame(a), frame(b)).first()
+    d = [x - y for x, y in zip(a, b)]
+    t = statistics.mean(d) / (statistics.stdev(d) / math.sqrt(5))
+    angle = math.atan(t / 2)  # with four degrees of freedom the tail has a closed form
+    assert abs(got.t - t) < 1e-5 and abs(got.p - (1 - math.sin(angle) * (1 + math.cos(angle) ** 2 / 2))) < 1e-5
+    assert experiments.paired_t(frame(a), frame(a)).first().p == 1.0
+
+
+def test_merge_by_key(spark, tmp_path):
+    from quillstone.sources import store
+
+    path = str(tmp_path / "x")
+    store.merge_json(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long"), path, "k")
+    store.merge_json(spark.createDataFrame([("b", 3), ("c", 4)], "k string, v long"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.json(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    store.save_vectors(spark.createDataFrame([(1, [0.5, 1.0])], "id long, v array<double>"), path + "v")
+    assert store.load_vectors(spark, path + "v").first().v == [0.5, 1.0]
