@@ -19,6 +19,7 @@ QUERIES = {
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')"
+_LOWER_WORDS = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 SQL = {
     "op1_topk_search": """
@@ -35,6 +36,15 @@ SQL = {
         m AS (SELECT b.page_id, host, path, h || p AS rule, verdict, row_number() OVER (PARTITION BY b.page_id ORDER BY length(h || p) DESC NULLS LAST) AS n
               FROM b LEFT JOIN r ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM m WHERE n = 1""",
+    "op7_minhash_neardup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s FROM w),
+        x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
     "op10_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
