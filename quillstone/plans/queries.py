@@ -494,12 +494,7 @@ def p1(s, d):
     return both.groupBy(F.col("term").alias("word")).agg(F.sum("cf").alias("cf")).where("cf >= 2")
 
 
-@query("P3_soundex")
-def p3(s, d):
-    return p1(s, d).select(F.soundex("word").alias("code"), "word")
-
-
-@query("P5_candidates", """, w AS (SELECT DISTINCT term AS word FROM dict WHERE regexp_matches(term, '^[a-z]{3,}$')),
+@query("P5_candidates", f", w AS (SELECT word FROM ({SQL['P1_vocabulary'].removeprefix(f'WITH {BASE} ')}))," + """
     x AS (SELECT substr(word, 1, length(word) - 1) AS typo FROM (SELECT DISTINCT term AS word FROM qt WHERE regexp_matches(term, '^[a-z]{5,}$'))),
     g AS (SELECT DISTINCT word, unnest([substr('$' || word || '$', i, 2) FOR i IN range(1, length(word) + 2)]) AS gram FROM w),
     h AS (SELECT DISTINCT typo, unnest([substr('$' || typo || '$', i, 2) FOR i IN range(1, length(typo) + 2)]) AS gram FROM x),
@@ -507,7 +502,7 @@ def p3(s, d):
     ng AS (SELECT word, count(*) AS n FROM g GROUP BY word), nh AS (SELECT typo, count(*) AS m FROM h GROUP BY typo)
     SELECT typo, word, round(k / (n + m - k), 6) AS jaccard FROM c JOIN ng USING (word) JOIN nh USING (typo) WHERE k / (n + m - k) >= 0.35""")
 def p5(s, d):
-    words = _body(s, d).dictionary.where(F.col("term").rlike("^[a-z]{3,}$")).select(F.col("term").alias("word"))
+    words = p1(s, d).select("word")
     typos = _terms(s, d).where(F.col("term").rlike("^[a-z]{5,}$")).select(F.expr("substr(term, 1, length(term) - 1)").alias("typo")).distinct()
     g = words.select("word", T.k_grams(F.col("word")).alias("g")).select("word", F.size("g").alias("n"), F.explode("g").alias("gram"))
     h = typos.select("typo", T.k_grams(F.col("typo")).alias("g")).select("typo", F.size("g").alias("m"), F.explode("g").alias("gram"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.functions.stems import edit_distance, porter_stem
+from quillstone.functions.stems import porter_stem
 from quillstone.operators import chunking, fusion, index, lexical
 from quillstone.plans.queries import _IMPACT, _MM, _RANK, _TOP, BASE, STOP, _bm, _body, _cos, _duck_sentences, _pool, _terms, _title, k9, k14, p1, p5, query
 from quillstone.plans.queries import SQL as _SQL
@@ -246,18 +246,6 @@ def p6(s, d):
     return p5(s, d).where(f"NOT ({_AFFIX.format('startswith', 'endswith')})")
 
 
-def _corrected(df: DataFrame) -> DataFrame:
-    near = df.withColumn("distance", edit_distance(F.col("typo"), F.col("word"), 2)).where(F.col("distance") <= F.when(F.length("typo") >= 8, 2).otherwise(1))
-    best = F.row_number().over(Window.partitionBy("typo").orderBy("distance", F.desc("cf"), F.desc("jaccard"), "word"))
-    return near.withColumn("r", best).where("r = 1").select("typo", "word", F.col("distance").cast("long").alias("distance"))
-
-
-@query("P8_correct_token", _inner("P5_candidates").replace("SELECT typo, word, round(k", ", y AS (SELECT typo, word, round(k").replace("GROUP BY typo)\n    , y", "GROUP BY typo), y") + f""" AND NOT ({_AFFIX.format('starts_with', 'ends_with')})), z AS (SELECT typo, word, damerau_levenshtein(typo, word) AS distance, cf, jaccard FROM y JOIN dict ON term = word)
-    SELECT typo, word, distance FROM (SELECT *, row_number() OVER (PARTITION BY typo ORDER BY distance, cf DESC, jaccard DESC, word) AS r FROM z WHERE distance <= CASE WHEN length(typo) >= 8 THEN 2 ELSE 1 END) WHERE r = 1""")
-def p8(s, d):
-    return _corrected(p6(s, d).join(_body(s, d).dictionary.select(F.col("term").alias("word"), "cf"), "word"))
-
-
 @query("V11_verify_by_retrieval", f"""SELECT f.qid, f.unit, f.score FROM (SELECT *, {_RANK.format('score')} AS r FROM (SELECT qid, unit, round(0.3 * {_MM.format('sparse')} + 0.7 * {_MM.format('dense')}, 6) AS score FROM (SELECT * FROM (SELECT *, {_RANK.format('sparse')} AS rs, {_RANK.format('dense')} AS rd FROM pl) WHERE rs <= 100 AND sparse > 0 OR rd <= 100) WINDOW p AS (PARTITION BY qid))) f JOIN docs ON doc_id = f.unit
     ANTI JOIN (SELECT c.qid, body FROM ({_TOP.format('bm', 2)}) c JOIN docs ON doc_id = c.unit) t ON t.qid = f.qid AND t.body = docs.body WHERE f.r <= 5""")
 def v11(s, d):

@@ -7,7 +7,7 @@ import pytest
 from quillstone.functions import text as T
 from quillstone.operators import boolean
 from quillstone.plans import queries as plans
-from quillstone.plans import audit, ranking  # noqa: F401
+from quillstone.plans import audit, correction, ranking  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def rows(names, data):
     return sorted([tuple(round(float(r[n]), 5) if isinstance(r[n], float) else str(r[n]) for n in names) for r in data], key=str)
 
 
-@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
+@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "P9_correct_query", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
 def test_against_oracle(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
     names = sorted(got.columns)
@@ -163,3 +163,22 @@ def test_merge_by_key(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.json(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
     store.save_vectors(spark.createDataFrame([(1, [0.5, 1.0])], "id long, v array<double>"), path + "v")
     assert store.load_vectors(spark, path + "v").first().v == [0.5, 1.0]
+
+
+def test_query_correction(spark):
+    from quillstone.operators import spelling
+
+    words = spark.createDataFrame([("protein", 9), ("proteins", 3), ("cancer", 5), ("canter", 2), ("fonetik", 4), ("activates", 7)], "word string, cf long")
+    typos = spark.createDataFrame([("protien",), ("canver",), ("phonetic",), ("fonatig",), ("deactivates",)], "typo string")
+    near = spelling.candidates(typos, words)
+    got = {r.typo: (r.word, r.distance, r.stage) for r in spelling.best(near, "typo").collect()}
+    # a swap is one edit; a tie goes to the frequent word; the first letter counts in sounds; two edits in seven letters need the sound; a prefix is no error
+    assert got == {"protien": ("protein", 1, 0), "canver": ("cancer", 1, 0), "fonatig": ("fonetik", 2, 1)}
+    context = spark.createDataFrame([(1, "cell"), (2, "horse")], "qid long, term string")
+    postings = spark.createDataFrame([(7, "cell"), (7, "cancer"), (8, "horse"), (8, "canter")], "unit long, term string")
+    asked = spark.createDataFrame([(1, "canver"), (2, "canver"), (3, "canver")], "qid long, typo string")
+    fixes = spelling.best(spelling.in_context(asked.join(near, "typo"), context, postings), "qid", "typo")
+    queries = spark.createDataFrame([(1, "Canver, of-the CANVER cell"), (2, "canver horse"), (3, "canver"), (4, None), (5, "")], "qid long, text string")
+    texts = {r.qid: (r.text, r.fixed) for r in spelling.rewrite(queries, fixes).collect()}
+    assert texts == {1: ("cancer, of-the CANVER cell", 1), 2: ("canter horse", 1), 3: ("cancer", 1), 4: (None, 0), 5: ("", 0)}
+    assert spelling.unknown_words(queries, context.select("term")).where("qid = 1").count() == 1
