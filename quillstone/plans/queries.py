@@ -477,9 +477,7 @@ def r6(s, d):
 
 @query("R7_risk_coverage", "SELECT doc_id, round(row_number() OVER w / count(*) OVER (), 6) AS coverage, round(1 - sum(quality) OVER w / row_number() OVER w, 6) AS risk FROM labels JOIN documents USING (doc_id) WINDOW w AS (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)")
 def r7(s, d):
-    w = Window.orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = _labels(s, d)
-    return x.join(F.broadcast(x.agg(F.count("*").alias("n")))).select("doc_id", F.round(F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) / F.col("n"), 6).alias("coverage"), F.round(1 - F.avg("quality").over(w), 6).alias("risk"))
+    return evaluation.risk_coverage(_labels(s, d).select("doc_id", F.col("n_chars").alias("score"), F.col("quality").alias("y")), "doc_id")
 
 
 @query("R10_auroc", """SELECT round((sum(pos * rank) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (sum(n) - sum(pos))), 6) AS auroc FROM (SELECT pos, n, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM

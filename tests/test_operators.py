@@ -25,7 +25,7 @@ def rows(names, data):
     return sorted([tuple(round(float(r[n]), 5) if isinstance(r[n], float) else str(r[n]) for n in names) for r in data], key=str)
 
 
-@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "P9_correct_query", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
+@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "P9_correct_query", "X4_entity_swap", "R7_risk_coverage", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
 def test_against_oracle(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
     names = sorted(got.columns)
@@ -182,3 +182,39 @@ def test_query_correction(spark):
     texts = {r.qid: (r.text, r.fixed) for r in spelling.rewrite(queries, fixes).collect()}
     assert texts == {1: ("cancer, of-the CANVER cell", 1), 2: ("canter horse", 1), 3: ("cancer", 1), 4: (None, 0), 5: ("", 0)}
     assert spelling.unknown_words(queries, context.select("term")).where("qid = 1").count() == 1
+
+
+def test_running_sums_over_ranges(spark):
+    from quillstone.operators import evaluation
+
+    # a third of all rows share one score; some have none
+    data = [(i, 0 if i % 3 == 0 else None if i % 50 == 1 else (i * 37) % 101, i % 7) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, score int, v long").repartition(5)
+    got = {r.id: r.upto_v for r in evaluation.running(df, ["score", "id"], ["v"], bins=8).collect()}
+    want, total = {}, 0
+    for i, _, v in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+        total += v
+        want[i] = total
+    assert got == want
+    assert evaluation.running(df.where("id < 0"), ["score", "id"], ["v"]).count() == 0
+    scored = df.where("score is not null").select("id", "score", (F.col("v") > 3).cast("int").alias("y"))
+    rows_ = sorted(scored.collect(), key=lambda r: (-r.score, r.id))
+    curve = {r.id: (r.coverage, r.risk) for r in evaluation.risk_coverage(scored, "id").collect()}
+    hits = 0
+    for n, r in enumerate(rows_, 1):
+        hits += r.y
+        assert curve[r.id] == pytest.approx((n / len(rows_), 1 - hits / n), abs=2e-6)
+
+
+def test_swapped_and_corrupted_claims(spark):
+    from quillstone.functions import corruption as X
+    from quillstone.operators import index, swaps
+
+    docs = spark.createDataFrame([(1, "insulin lowers glucose in mice"), (2, "leptin lowers weight in mice"), (3, "mice eat"), (4, "")], "doc_id long, body string")
+    claims = spark.createDataFrame([(1, "Insulin works; insulin!", "insulin lowers glucose in mice"), (2, "nothing known", "mice"), (3, None, None)], "qid long, claim string, evidence string")
+    got = {r.qid: (r.word, r.entity) for r in swaps.entity_swap(claims, index.build(docs, "doc_id", "body")).collect()}
+    # of the words as rare as insulin only leptin and weight are not in the evidence; "insulin" is the greater of the two spellings
+    assert list(got) == [1] and got[1] in {("insulin", "Insulin works; leptin!"), ("insulin", "Insulin works; weight!")}
+    rows_ = spark.createDataFrame([(1, "plain words", "other words"), (2, "plain words", None), (3, "it is so", None)], "qid long, claim string, entity string")
+    out = {r.qid: r.x for r in rows_.select("qid", X.corrupt(F.col("claim"), F.col("entity"), F.col("qid")).alias("x")).collect()}
+    assert tuple(out[1]) == ("other words", "entity", "UNSUPPORTED") and out[2] is None and tuple(out[3]) == ("it is not so", "negation", "CONTRADICTED")
