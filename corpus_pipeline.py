@@ -53,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("MinHash near-dedup", neardup), ("substring dedup", substrings), ("mixing sources to target weights", mix), ("BPE encoding and decoding", encode)]
 
-#: The hashed log-likelihood ratio, the sampling order and the encoding are not SQL; the tests hold the stages' operators against brute force.
+#: The hashed log-likelihood ratio, the sampling order and the encoding are not SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
