@@ -25,7 +25,7 @@ def rows(names, data):
     return sorted([tuple(round(float(r[n]), 5) if isinstance(r[n], float) else str(r[n]) for n in names) for r in data], key=str)
 
 
-@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "P9_correct_query", "X4_entity_swap", "R7_risk_coverage", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
+@pytest.mark.parametrize("name", ["T9_sentences", "T10_numbers", "I1_postings", "L3_zones", "L10_smart_anc_ltc", "B5_phrase", "K7_rrf", "D4_cluster_search", "M1_M5_per_query", "C3_chunk_window", "L9_tiered_search", "L14_min_cover_window", "K13_rerank_append", "Q8_oracle_alpha", "R8_scope_gate", "P8_correct_token", "P9_correct_query", "X4_entity_swap", "X6_training_pairs", "R7_risk_coverage", "Q2_post_features", "Q10_tf_idf_grid", "R1_candidates", "V1_split_claims", "V2_normalize_claim", "V7_features", "V10_verdicts", "M7_paired_t", "M8_best_threshold", "M11_rationale", "V11_verify_by_retrieval"])
 def test_against_oracle(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
     names = sorted(got.columns)
