@@ -218,3 +218,10 @@ def test_swapped_and_corrupted_claims(spark):
     rows_ = spark.createDataFrame([(1, "plain words", "other words"), (2, "plain words", None), (3, "it is so", None)], "qid long, claim string, entity string")
     out = {r.qid: r.x for r in rows_.select("qid", X.corrupt(F.col("claim"), F.col("entity"), F.col("qid")).alias("x")).collect()}
     assert tuple(out[1]) == ("other words", "entity", "UNSUPPORTED") and out[2] is None and tuple(out[3]) == ("it is not so", "negation", "CONTRADICTED")
+
+
+def test_injected_detection(spark):
+    from quillstone.operators import experiments
+
+    found = spark.createDataFrame([("negation", "VERIFIED", 0.9), ("negation", "CONTRADICTED", 0.8), ("entity", None, None), ("entity", "UNSUPPORTED", 0.2)], "kind string, status string, cosine double")
+    assert {tuple(r) for r in experiments.injected_detection(found, 0.5).collect()} == {("negation", 2, 1, 0), ("entity", 2, 2, 2)}
