@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import STOP_WORDS
-from quillstone.operators.index import Index
-
 TOKEN = r"[0-9]+(?:\.[0-9]+)?|[a-z0-9]+"
 #: Scores are ranked after rounding to six places, so whatever is so near the last place counted stays.
 NEAR = 2e-6
@@ -63,9 +61,13 @@ def as_index(pack: DataFrame, zone: str) -> tuple[DataFrame, DataFrame]:
     return postings, pack.select("unit", f"{zone}.len", f"{zone}.lnc", f"{zone}.max_tf", f"{zone}.n_distinct")
 
 
-def near(index: Index, units: DataFrame) -> Index:
-    """The index with the postings of some units only; counts stay those of all."""
-    return Index(index.postings.join(units.select("unit").distinct(), "unit", "left_semi"), index.dictionary, index.units, index.stats)
+#: Candidates up to which a table of them goes to every task; more are joined by Spark's own choice.
+FEW = 500_000
+
+
+def few(pairs: DataFrame) -> DataFrame:
+    """Stored candidates, marked for a broadcast if they are few."""
+    return F.broadcast(pairs) if pairs.count() <= FEW else pairs
 
 
 class _Best:

@@ -280,3 +280,22 @@ def test_models_are_fitted_on_stored_features(spark, name):
     """Before, each pass of a fit scored every document again."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents.parquet" not in plan and plan.count("Relation") <= 12
+
+
+def test_features_of_candidates_only(spark):
+    """Phrases, windows, coverage and cosines of candidate pairs equal those of all pairs; other pairs are not made."""
+    from quillstone.operators import lexical
+    from quillstone.sources import corpus
+
+    t, q = plans._terms(spark, SF), corpus.queries(spark, SF)
+    pairs = audit.r1(spark, SF).select("qid", "unit").where("unit % 2 = 0")
+    some = plans._asked(spark, SF, "body", pairs), plans._asked(spark, SF, "title", pairs)
+    whole = plans._body(spark, SF), plans._title(spark, SF)
+    for f in (lambda b, c, *w: lexical.min_cover(b, t, *w), lambda b, c, *w: lexical.phrase_pairs(b, q, *w), lambda b, c, *w: plans._coverage(b, c, t, *w), lambda b, c, *w: lexical.cosine(b, t, *w)):
+        got, want = f(*some, pairs), f(*whole).join(pairs, ["qid", "unit"], "left_semi")
+        assert rows(got.columns, [r.asDict() for r in got.collect()]) == rows(got.columns, [r.asDict() for r in want.collect()])
+
+
+def test_reranker_is_fitted_on_stored_features(spark):
+    plan = plans.QUERIES["R4_rerank"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and plan.count("Relation") == 1
