@@ -17,7 +17,7 @@ from quillstone.functions.text import STOP_WORDS
 TOKEN = r"[0-9]+(?:\.[0-9]+)?|[a-z0-9]+"
 #: Scores are ranked after rounding to six places, so whatever is so near the last place counted stays.
 NEAR = 2e-6
-#: Cells of queries by units at once, and pairs that wait until the best are picked.
+#: Cells of queries by units at once, and pairs that wait until the best are picked; both for few sums of a pair, less for many.
 CELLS, WAITING = 400_000, 1_000_000
 
 
@@ -127,14 +127,15 @@ def scores(pack: DataFrame, zones: dict[str, tuple[list, float]], k: int, combin
         where = {t: i for i, t in enumerate(names)}
         ids = np.array([where[r[1]] for r in rows], np.int64)
         degree = np.bincount(ids, minlength=len(names))
-        tables[z] = (where, np.cumsum(degree) - degree, degree, np.array([place[r[0]] for r in rows], np.int64), np.array([r[2:] for r in rows], float).reshape(len(rows), -1), mean)
+        tables[z] = (where, np.cumsum(degree) - degree, degree, np.array([place[r[0]] for r in rows], np.int64), np.array([r[2:] for r in rows], float).reshape(len(rows), -1) if rows else np.empty((0, width)), mean)
     columns = [f"{z}_{i}" for z in zones for i in range(width)]
     matrix = np.array(mixes)
+    cells, most = CELLS * 8 // max(8, len(columns)), WAITING * 4 // max(2, len(columns))
 
     def run(batches):
         if not qids:
             return
-        best, step, seen, rows = _Best(len(qids), len(mixes), k), max(16, CELLS // len(qids)), 0, []
+        best, step, seen, rows = _Best(len(qids), len(mixes), k), max(16, cells // len(qids)), 0, []
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = pa.ipc.open_stream(_copy(batch.slice(lo, step))).read_next_batch()
@@ -160,7 +161,7 @@ def scores(pack: DataFrame, zones: dict[str, tuple[list, float]], k: int, combin
                     best.put(s, q, unit, score)
                 rows.append((q[keep], unit[keep], total[:, keep]))
                 seen += int(keep.sum())
-                if seen > 2 * WAITING:
+                if seen > most:
                     rows, seen = _only(rows, [best.pick(s) for s in range(len(mixes))]), 0
         if rows:
             rows = _only(rows, [best.pick(s) for s in range(len(mixes))])

@@ -299,3 +299,28 @@ def test_features_of_candidates_only(spark):
 def test_reranker_is_fitted_on_stored_features(spark):
     plan = plans.QUERIES["R4_rerank"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents.parquet" not in plan and plan.count("Relation") == 1
+
+
+def test_bm25_grid_without_the_whole_index(spark, tmp_path):
+    """The grid from packed postings equals its SQL: ties, copies, zones without a hit, a judged passage of stop words; before, all words of all documents went to disk. Documents that share an id go by the whole index."""
+    from quillstone.sources import store
+
+    words = ["alpha", "beta", "gamma", "delta", "the", "3.5", "x1"]
+    texts = [" ".join(words[(i * j) % 7] for j in range(i % 9)) + "\n" + " ".join(words[(i + j * j) % 7] for j in range(i % 13)) for i in range(120)]
+    texts += ["a\nalpha beta gamma delta x1"] * 30 + ["alpha beta gamma delta x1 alpha\n", "of the\nbeta gamma 3.5", None, "", "gamma 3.5\nother words here"]
+    queries = [(1, "alpha beta gamma delta x1"), (2, "gamma 3.5"), (3, "the"), (4, "unknown delta"), (5, "beta x1")]
+    cases = {"one": (range(len(texts)), texts, queries), "two": ([i // 2 for i in range(len(texts))], texts, queries), "untitled": (range(40), ["\n" + x for x in texts[110:150]], queries), "unmatched": (range(2), ["of the", "other\nwords"], queries)}
+    for name, (ids, some, asked) in cases.items():
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(list(zip(ids, some)), "doc_id long, text string").repartition(3).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{d}/benchmark.parquet")
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+        got, want = plans.QUERIES["Q9_bm25_grid"](spark, d), con.execute(plans.SQL["Q9_bm25_grid"])
+        cols = [c[0] for c in want.description]
+        want = [dict(zip(cols, r)) for r in want.fetchall()]
+        assert len(want) == (0 if name == "unmatched" else 96)
+        assert rows(cols, [r.asDict() for r in got.collect()]) == rows(cols, want), name
+        assert any(f"{d}/" in str(f) for key in store._STORED for f in key) == (name == "two")
